@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cloakframe.llm.hilbert import op7_hilbert_shards
+from cloakframe.llm.media import op5_iso_media
 from cloakframe.llm.packing import op8_tier_packing
 from cloakframe.llm.records import op3_token_records
 from cloakframe.llm.simhash import op4_simhash_trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_records, op4_simhash_trie, op8_tier_packing)}
+    return {f.__name__: f for f in (op3_token_records, op4_simhash_trie, op5_iso_media, op7_hilbert_shards, op8_tier_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
