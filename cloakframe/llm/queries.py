@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cloakframe.llm.extract import op10_dom_marginals
 from cloakframe.llm.hilbert import op7_hilbert_shards
 from cloakframe.llm.langid import op1_language_id
 from cloakframe.llm.leaks import op9_edit_decontamination
@@ -17,7 +18,7 @@ from cloakframe.llm.simhash import op4_simhash_trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_token_records, op4_simhash_trie, op5_iso_media, op7_hilbert_shards, op8_tier_packing, op9_edit_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_token_records, op4_simhash_trie, op5_iso_media, op7_hilbert_shards, op8_tier_packing, op9_edit_decontamination, op10_dom_marginals)}
 
 
 def oracle_sql() -> dict[str, str]:
