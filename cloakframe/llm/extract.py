@@ -214,7 +214,7 @@ def labelled_pages(n: int, seed: int = 7) -> list[tuple[Page, list[bool]]]:
                     (
                         lambda: paragraphs(1, 4, rng.choice((4, 30, 120))),
                         lambda: paragraphs(1, 5, 200),
-                        lambda: paragraphs(10, rng.choice((12, 200)), rng.choice((2, 3, 12))),
+                        lambda: paragraphs(8, rng.choice((12, 90)), rng.choice((2, 3, 12, 60))),
                         lambda: f"<p><b>{prose(1, 30)}<br><p>{prose(1, 80)}</p>",
                         lambda: f"<p>{prose(1, 30)}<em>{prose(1, 4)}</em>, <a href='/y'>{prose(1, 5)}</a> {prose(1, 30)}</p>",
                         lambda: f"<{rng.choice(('h2', 'h3'))}>{prose(1, 6)}</h2>" + paragraphs(1, 3),

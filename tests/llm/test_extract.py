@@ -72,9 +72,9 @@ def test_query(spark, tables):
     html = f"""<html><head><title>T</title></head><body><div class="cookie-notice">We use cookies</div><nav><a href=/>Home</a></nav><header class="site-header"><p>Site</p></header>
     <article>{BODY}</article><div class="ad">Buy now</div><aside class="sidebar"><ul><li><a href=x>More</a></ul></aside>
     <section class="comments"><p>I like it</p></section><form><label>Name</label><button>Send</button></form><footer>&copy; me</footer></body></html>"""
-    rows = [(1, "u", html, "clash"), (2, None, None, None), (3, "u", "", None), (4, "u", f"<article>{BODY}", None), (None, "u", html, None), (1, "u", html, "clash"), (5, "u", "<article>" + ("<p>" + "word " * 40) * 500, None)]
+    rows = [(1, "u", html, "clash"), (2, None, None, None), (3, "u", "", None), (4, "u", f"<article>{BODY}", None), (None, "u", html, None), (1, "u", html, "clash"), (5, "u", "<article>" + "<h1>word</h1>" + ("<p>" + "word " * 700) * 30, None)]
     got = sorted((tuple(r) for r in op10_dom_marginals(spark, tables(pages=(rows, PAGES))).collect()), key=str)
-    long = " ".join(["word"] * 20000)
+    long = " ".join(["word"] * 21001)
     assert got == sorted([(1, "u", TEXT, len(TEXT)), (2, None, "", 0), (3, "u", "", 0), (4, "u", TEXT, len(TEXT)), (None, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (5, "u", long, len(long))], key=str)
     assert main_text(html, trained()) == TEXT
     assert op10_dom_marginals(spark, tables(pages=([], PAGES))).collect() == []
