@@ -28,8 +28,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from cloakframe.llm.common import prepare
 from cloakframe.llm.dom import BLOCK, Page, joined, parse
 
-PAGES = 240
-ROUNDS = 10
+PAGES = 400
+ROUNDS = 14
 RATE = 0.3
 _WORD = re.compile(r"[a-z]+").findall
 
