@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from cloakframe.llm.common import by_bytes, fold, prepare, stored
 
@@ -289,12 +290,10 @@ def vocabulary() -> str:
     return os.path.abspath(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; the text is the only input. Clashing columns are replaced."""
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    rest = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = StructType([*rest, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score; the text is the only input. Columns so named are replaced."""
+    rest = [f for f in docs.schema.fields if f.name not in names]
+    schema = StructType([*rest, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     at = [f.name for f in rest].index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -308,6 +307,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*[f"`{f.name}`" for f in rest]).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs that have letters and a language with at least this score, as they are."""
+    marked = predict(docs, model, ("__lang", "__score"))
+    return marked.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: fitted on two folds, predicted for every whole text."""
     prepare(spark)

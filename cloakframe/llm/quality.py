@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cloakframe.llm.common import fold, prepare
 
@@ -73,18 +74,21 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """docs' columns keep and a struct stats for each row, from the text."""
+def with_statistics(docs: DataFrame, keep: list[str], name: str = "stats") -> DataFrame:
+    """docs' columns keep and a struct of the text's statistics for each row, under this name."""
     fields = [f for f in docs.schema.fields if f.name in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["stats struct<" + ",".join(f"{s}:double" for s in STATS) + ">"])
+    schema = StructType([*fields, StructField(name, StructType([StructField(s, DoubleType()) for s in STATS]))])
+    names = [f.name for f in fields]
+    at = names.index("text") if "text" in names else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([statistics(x) for x in batch.column(len(fields)).to_pylist()]).reshape(-1, len(STATS))
+            got = np.array([statistics(x) for x in batch.column(at).to_pylist()]).reshape(-1, len(STATS))
             stats = pa.StructArray.from_arrays([pa.array(c) for c in got.T], names=list(STATS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], stats], names=[*(f.name for f in fields), "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], stats], names=schema.names)
 
-    return docs.select(*[f"`{f.name}`" for f in fields], F.col("text").alias("__text")).mapInArrow(run, schema)
+    columns = [f"`{c}`" for c in names] + [F.col("text").alias("__text")] * (at == len(names))
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 #: A rule: bounds (statistic, low, high) with low < value <= high.
@@ -168,7 +172,7 @@ class RuleModel:
         for rule, w in self.rules:
             bounds = []
             for k, a, b in rule:
-                value = F.col(f"{stats}.{STATS[k]}")
+                value = F.col(f"`{stats}`.{STATS[k]}")
                 bounds += [value > a] * bool(np.isfinite(a)) + [value <= b] * bool(np.isfinite(b))
             total = total + F.when(reduce(Column.__and__, bounds), F.lit(w)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
@@ -218,6 +222,11 @@ def scored(docs: DataFrame, model: RuleModel, keep: list[str]) -> DataFrame:
     return stats.withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("stats")
 
 
+def accepted(docs: DataFrame, model: RuleModel) -> DataFrame:
+    """The rows of docs that the model predicts to be good, as they are."""
+    return with_statistics(docs, docs.columns, "__stats").filter(model.column("__stats") >= 0.5).drop("__stats")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: fitted on two folds, scored for every whole text."""
     prepare(spark)
