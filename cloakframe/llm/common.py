@@ -59,7 +59,7 @@ def by_bytes(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, text in enumerate(texts):
         n = len(text) if text is not None else 0
-        if i > start and (size + n > limit or i - start >= 2048):
+        if i > start and size + n > limit:
             yield start, i
             start, size = i, 0
         size += n

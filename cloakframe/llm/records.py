@@ -2,9 +2,10 @@
 
 A record file holds, for each document: its payload's length (8 bytes), that length's masked
 CRC-32C (4), the payload, and the payload's masked CRC-32C (4), all little-endian. A payload is
-the doc_id (8 bytes, the least integer for a null) and the ids (4 bytes each). The index beside
-it has 24 bytes for a record: doc_id, the record's place in the file, and its number of ids; a
-reader can so take records in any order.
+the doc_id (8 bytes, the least integer for a null), the bytes that an id takes (2), and the ids,
+of 2 bytes where the vocabulary has no more than 65,536 and of 4 elsewhere. The index beside it
+has 24 bytes for a record: doc_id, the record's place in the file, and its number of ids; so a
+reader can take records in any order.
 
 Documents are sorted by doc_id over range partitions, one file each. A null text is an empty one
 (it still has the end id); a null doc_id comes first; rows that repeat a doc_id follow each other.
@@ -29,8 +30,9 @@ from cloakframe.llm.crc32c import crc32c, masked
 from cloakframe.llm.tokens import encoder
 
 NO_ID = -(1 << 63)
-INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
+INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u4"), ("width", "<u4")])
 FRAME = 16
+HEAD = 10  # of a payload
 MANIFEST = "part int, file string, n_records long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -72,12 +74,13 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -
         files.create_dir(root, recursive=True)
         task = TaskContext.get()
         name, attempt = f"part-{task.partitionId():06d}", task.taskAttemptId()
-        encode, end = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
+        encode, width, end = encoder(tokenizer).encode, encoder(tokenizer).width, end_id.to_bytes(4, "little")
+        kind, mark = f"<u{width}", width.to_bytes(2, "little")
         index, place, tokens, out = [], 0, 0, None
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in by_bytes(texts):
-                payloads = [(NO_ID if d is None else d).to_bytes(8, "little", signed=True) + x + end for d, x in zip(ids[a:b], encode(texts[a:b]), strict=True)]
+            for a, b in by_bytes(texts, 4 << 20):
+                payloads = [(NO_ID if d is None else d).to_bytes(8, "little", signed=True) + mark + np.frombuffer(x + end, "<u4").astype(kind).tobytes() for d, x in zip(ids[a:b], encode(texts[a:b]), strict=True)]
                 records = frame(payloads)
                 out = out or files.open_output_stream(f"{root}/{name}.rec.{attempt}")
                 out.write(b"".join(records))
@@ -85,8 +88,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -
                 rows["doc_id"] = [NO_ID if d is None else d for d in ids[a:b]]
                 sizes = np.array([len(x) for x in records])
                 rows["offset"] = place + np.cumsum(sizes) - sizes
-                rows["n"] = (sizes - FRAME - 8) // 4
-                place, tokens = place + int(sizes.sum()), tokens + int(rows["n"].sum())
+                rows["n"], rows["width"] = (sizes - FRAME - HEAD) // width, width
+                place, tokens = place + int(sizes.sum()), tokens + int(rows["n"].sum(dtype=np.int64))
                 index.append(rows)
         if out is None:
             return
@@ -114,7 +117,7 @@ def read_payloads(path: str, name: str, index: np.ndarray, limit: int = 8 << 20)
     """Runs of the index with their checked payloads; rows that follow each other are read at once."""
     files, root = fs.FileSystem.from_uri(path)
     with files.open_input_file(f"{root}/{name}.rec") as f:
-        sizes = index["n"].astype(np.int64) * 4 + 8 + FRAME
+        sizes = index["n"].astype(np.int64) * index["width"] + HEAD + FRAME
         a = 0
         while a < len(index):
             b, total = a + 1, int(sizes[a])
@@ -127,6 +130,10 @@ def read_payloads(path: str, name: str, index: np.ndarray, limit: int = 8 << 20)
             a = b
 
 
+def ids_of(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, f"<u{payload[8]}", offset=HEAD)
+
+
 def shuffled(path: str, name: str, seed: int) -> Iterator[tuple[int | None, np.ndarray]]:
     """A file's documents (doc_id, ids) in an order that the seed decides, read through the index."""
     index = read_index(path, name)
@@ -135,7 +142,7 @@ def shuffled(path: str, name: str, seed: int) -> Iterator[tuple[int | None, np.n
     for i in order:
         for rows, payloads in read_payloads(path, name, index[i : i + 1]):
             doc = int(rows["doc_id"][0])
-            yield None if doc == NO_ID else doc, np.frombuffer(payloads[0], "<u4", offset=8)
+            yield None if doc == NO_ID else doc, ids_of(payloads[0])
 
 
 def read_records(spark: SparkSession, path: str, manifest: list[tuple[int, str, int, int]]) -> DataFrame:
@@ -152,12 +159,13 @@ def read_records(spark: SparkSession, path: str, manifest: list[tuple[int, str,
                 for rows, payloads in read_payloads(path, name, read_index(path, name)):
                     n = rows["n"].astype(np.int64)
                     docs = [int.from_bytes(x[:8], "little", signed=True) for x in payloads]
+                    ids = [ids_of(x) for x in payloads]
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array([None if d == NO_ID else d for d in docs], pa.int64()),
                             "start": pa.array(at + np.cumsum(n) - n, pa.int64()),
-                            "n_tokens": pa.array([(len(x) - 8) // 4 for x in payloads], pa.int64()),
-                            "ids_crc32": pa.array([zlib.crc32(memoryview(x)[8:]) for x in payloads], pa.int64()),
+                            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                         }
                     )
                     at += int(n.sum())
