@@ -1,17 +1,516 @@
-"""The queries over the reference's operators, with their SQL."""
+"""The queries over the masking operators, with DuckDB SQL for those that SQL can express.
+
+Values that the tables don't hold (IBANs, cards, database errors) are derived from keys, or stand
+in a short list of literals.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakframe.functions import checksums, maskers
+from cloakframe.functions.keys import Key, pseudonym, pseudonym_matches
+from cloakframe.operators.text import classify, mask_text, preserve_format, scan
+from cloakframe.plans.compiler import Engine, mask, serialise
+from cloakframe.plans.policy import STRICT, Overrides, Policy, metadata
+from cloakframe.plans.vocab import Declaration, Keep
+from cloakframe.ship import ship
+from cloakframe.sources import dberrors
+from cloakframe.sources.jsonio import mask_json
+from cloakframe.sources.logs import mask_events
+from cloakframe.sources.records import Settings, mask_records
 
 Query = Callable[[SparkSession, str], DataFrame]
+PH = STRICT.placeholder
+#: Keys of the examples; a deployment gives its own.
+KEY, OLD_KEY = Key.of_secret("an example secret of the catalog"), Key.of_secret("the secret before the rotation")
+ENGINE = Engine(key=KEY)
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL if there is any."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# ---- SQL for single steps: a value's characters, digits, and keyed pseudonyms ----
+
+
+def s_alnum(x: str) -> str:
+    return f"regexp_replace({x}, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
+
+
+def s_digits(x: str) -> str:
+    return f"regexp_replace({x}, '[^\\p{{Nd}}]', '', 'g')"
+
+
+def s_partial(x: str, keep: int) -> str:
+    """Characters from the end are counted; all but the last keep letters and digits are hidden."""
+    n = f"length({s_alnum(x)})"
+    before = f"length({s_alnum(f'substr({x}, 1, i)')})"
+    shown = f"{n} > {keep} AND {before} > {n} - {keep}" if keep else "false"
+    return f"list_aggregate(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN NOT regexp_matches(substr({x}, i, 1), '[\\p{{L}}\\p{{Nd}}]') OR ({shown}) THEN substr({x}, i, 1) ELSE '*' END), 'string_agg', '')"
+
+
+def s_fours(x: str) -> str:
+    return f"rtrim(regexp_replace({x}, '(.{{4}})', '\\1 ', 'g'))"
+
+
+def s_email(x: str) -> str:
+    local, domain = f"regexp_replace({x}, '@[^@]*$', '')", f"regexp_extract({x}, '([^@]*)$', 1)"
+    end = f"regexp_extract({domain}, '(\\.[^.]*)$', 1)"
+    hidden = f"substr({domain}, 1, 1) || repeat('*', length({domain}) - length({end}) - 1) || {end}"
+    return f"CASE WHEN {x} LIKE '_%@_%' THEN substr({local}, 1, 1) || repeat('*', length({local}) - 1) || '@' || {hidden} WHEN {x} IS NOT NULL THEN '{PH}' END"
+
+
+def s_iban(x: str, keep: int) -> str:
+    t = f"upper({s_alnum(x)})"
+    end = f"right({t}, {keep})" if keep else "''"
+    return f"CASE WHEN regexp_matches({t}, '^[A-Z]{{2}}[0-9]{{2}}') AND length({t}) BETWEEN 15 AND 34 THEN {s_fours(f'substr({t}, 1, 4) || repeat(chr(42), length({t}) - 4 - {keep}) || {end}')} ELSE '{PH}' END"
+
+
+def s_pan(x: str) -> str:
+    d = s_digits(x)
+    return f"CASE WHEN length({d}) >= 12 THEN {s_fours(f'repeat(chr(42), length({d}) - 4) || right({d}, 4)')} ELSE '{PH}' END"
+
+
+def s_phone(x: str) -> str:
+    n, seen, lead = f"length({s_digits(x)})", f"length({s_digits(f'substr({x}, 1, i)')})", f"(CASE WHEN {x} LIKE '+%' THEN 2 ELSE 0 END)"
+    each = f"CASE WHEN NOT regexp_matches(substr({x}, i, 1), '\\p{{Nd}}') OR {seen} <= {lead} OR {seen} > {n} - 2 THEN substr({x}, i, 1) ELSE '*' END"
+    return f"CASE WHEN {n} >= 6 THEN list_aggregate(list_transform(range(1, length({x}) + 1), lambda i: {each}), 'string_agg', '') ELSE '{PH}' END"
+
+
+def s_name(x: str) -> str:
+    letter = "'[\\p{L}]'"
+    return f"list_aggregate(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(substr({x}, i, 1), {letter}) AND regexp_matches(substr({x}, i - 1, 1), {letter}) THEN '*' ELSE substr({x}, i, 1) END), 'string_agg', '')"
+
+
+def s_hash(x: str, key: Key = KEY) -> str:
+    inner, outer = (f"unhex('{p.hex()}')" for p in key.pads())
+    mac = f"unhex(sha256({outer} || unhex(sha256({inner} || encode({x})))))"
+    head = f"unhex(substr(hex({mac}), 1, 24))"
+    return f"'~{key.id}:' || replace(replace(rtrim(to_base64({head}), '='), '+', '-'), '/', '_')"
+
+
+# ---- derived values ----
+
+IBAN = F.concat(F.lit("CH93"), F.lpad(F.col("c_custkey").cast("string"), 17, "0"))
+S_IBAN = "('CH93' || lpad(c_custkey::VARCHAR, 17, '0'))"
+EMAIL = F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.com"))
+S_EMAIL = "(lower(replace(c_name, '#', '.')) || '@' || lower(c_mktsegment) || '.example.com')"
+CARD = F.concat(F.lit("4"), F.lpad(F.col("o_orderkey").cast("string"), 15, "0"))
+S_CARD = "('4' || lpad(o_orderkey::VARCHAR, 15, '0'))"
+PHONE = F.concat(F.lit("+41 79 "), F.lpad((F.col("c_custkey") * 7919 % 10000000).cast("string"), 7, "0"))
+S_PHONE = "('+41 79 ' || lpad((c_custkey * 7919 % 10000000)::VARCHAR, 7, '0'))"
+IP = F.concat_ws(".", F.lit("10"), (F.col("user_id") % 256).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("77"))
+S_IP = "('10.' || (user_id % 256)::VARCHAR || '.' || (event_id % 256)::VARCHAR || '.77')"
+
+
+def _meta(df: DataFrame, **declared: Declaration | Keep) -> DataFrame:
+    return df.select(*[F.col(c).alias(c, metadata=metadata(declared[c])) if c in declared else F.col(c) for c in df.columns])
+
+
+# ---- declared masking ----
+
+
+@query(f"SELECT c_custkey, {s_name('c_name')} AS c_name, {s_email(S_EMAIL)} AS email, {s_iban(S_IBAN, 4)} AS iban, {s_hash('c_custkey::VARCHAR')} AS customer_id, CAST(0 AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer")
+def mask_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", EMAIL.alias("email"), IBAN.alias("iban"), F.col("c_custkey").cast("string").alias("customer_id"), "c_acctbal", "c_mktsegment")
+    return mask(_meta(rows, c_name=Declaration("FULL_NAME"), email=Declaration("EMAIL"), iban=Declaration("IBAN"), customer_id=Declaration("CUSTOMER_ID"), c_acctbal=Declaration("FINANCIAL_AMOUNT"), c_mktsegment=Keep("a market segment is public")), ENGINE)
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_name IS NOT NULL THEN '{PH}' END AS masked FROM customer")
+def mask_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", maskers.redact(F.col("c_name"), PH).alias("masked"))
+
+
+@query(f"SELECT c_custkey, {s_partial('c_name', 4)} AS kept_4, {s_partial('c_name', 0)} AS kept_0, {s_partial('c_name', 40)} AS kept_40 FROM customer")
+def mask_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", *[maskers.partial(F.col("c_name"), k).alias(f"kept_{k}") for k in (4, 0, 40)])
+
+
+@query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS masked, {s_email('c_name')} AS no_address FROM customer")
+def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", maskers.email(EMAIL, PH).alias("masked"), maskers.email(F.col("c_name"), PH).alias("no_address"))
+
+
+@query(f"SELECT c_custkey, {s_iban(S_IBAN, 4)} AS masked, {s_iban(S_IBAN, 0)} AS bare, {s_iban('c_name', 4)} AS no_iban FROM customer")
+def mask_iban(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", maskers.iban(IBAN, PH).alias("masked"), maskers.iban(IBAN, PH, 0).alias("bare"), maskers.iban(F.col("c_name"), PH).alias("no_iban"))
+
+
+@query(f"SELECT o_orderkey, {s_pan(S_CARD)} AS masked, {s_pan('o_orderkey::VARCHAR')} AS too_short FROM orders")
+def mask_pan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", maskers.pan(CARD, PH).alias("masked"), maskers.pan(F.col("o_orderkey").cast("string"), PH).alias("too_short"))
+
+
+@query(f"SELECT c_custkey, {s_phone(S_PHONE)} AS masked, {s_phone(f'substr({S_PHONE}, 2)')} AS local, {s_phone('c_mktsegment')} AS no_phone FROM customer")
+def mask_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", maskers.phone(PHONE, PH).alias("masked"), maskers.phone(F.substring(PHONE, 2, 40), PH).alias("local"), maskers.phone(F.col("c_mktsegment"), PH).alias("no_phone"))
+
+
+@query(f"SELECT p_partkey, {s_name('p_name')} AS masked FROM part")
+def mask_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", maskers.name(F.col("p_name")).alias("masked"))
+
+
+@query(f"SELECT event_id, regexp_replace({S_IP}, '\\.[0-9]+$', '.0') AS v4, '2001:db8:' || lower(to_hex(user_id)) || '::' AS v6, '{PH}' AS no_ip FROM events")
+def mask_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v6 = F.concat(F.lit("2001:db8:"), F.lower(F.hex("user_id")), F.lit(":8d3::1"))
+    return read(spark, sf_dir, "events").select("event_id", maskers.ip(IP, PH).alias("v4"), maskers.ip(v6, PH).alias("v6"), maskers.ip(F.col("event_type"), PH).alias("no_ip"))
+
+
+@query(f"SELECT o_orderkey, date_trunc('year', o_orderdate)::TIMESTAMP AS as_timestamp, date_trunc('year', o_orderdate)::DATE AS as_date, strftime(o_orderdate, '%Y') AS as_text, '{PH}' AS no_date FROM orders")
+def mask_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate")
+    return read(spark, sf_dir, "orders").select(
+        "o_orderkey", maskers.year_of_date(d, "timestamp_ntz").alias("as_timestamp"), maskers.year_of_date(d.cast("date"), "date").alias("as_date"), maskers.year_of_text(F.date_format(d, "yyyy-MM-dd"), PH).alias("as_text"), maskers.year_of_text(F.col("o_orderpriority"), PH).alias("no_date")
+    )
+
+
+@query("SELECT c_custkey, CAST(NULL AS VARCHAR) AS c_name, CAST(NULL AS DOUBLE) AS c_acctbal FROM customer")
+def mask_nullify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return mask(_meta(rows, c_name=Declaration(strategy="NULLIFY"), c_acctbal=Declaration(strategy="NULLIFY")), ENGINE)
+
+
+@query("SELECT c_custkey, c_name, CAST(0 AS DOUBLE) AS c_acctbal FROM customer")
+def mask_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declaration below the policy's threshold leaves the value, unscanned."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return mask(_meta(rows, c_name=Declaration("FULL_NAME", sensitivity=0), c_acctbal=Declaration("FINANCIAL_AMOUNT")), Engine(Policy(threshold=2), KEY))
+
+
+@query(f"SELECT c_custkey, '{PH}' AS cvv, '{PH}' AS api_key, {s_hash('c_name')} AS hashed FROM customer")
+def mask_hardened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strategies that would show a part are replaced where nothing may show."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0").alias("cvv"), F.concat(F.lit("sk_"), "c_name").alias("api_key"), F.col("c_name").alias("hashed"))
+    return mask(_meta(rows, cvv=Declaration("CARD_VERIFICATION_VALUE", strategy="PARTIAL", keep=3), api_key=Declaration("CREDENTIAL", strategy="NAME"), hashed=Declaration("CREDENTIAL", strategy="HASH")), ENGINE)
+
+
+@query("SELECT c_custkey, upper(left(c_name, 3)) || '...' AS c_name FROM customer")
+def mask_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return mask(_meta(rows), Engine(key=KEY, overrides=Overrides(by_path={"c_name": Declaration(masker=lambda c, d: F.concat(F.upper(F.substring(c, 1, 3)), F.lit("...")))})))
+
+
+# ---- pseudonyms ----
+
+
+@query(f"SELECT c_custkey, {s_hash('c_name')} AS pseudonym FROM customer")
+def hash_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", pseudonym(F.col("c_name"), KEY).alias("pseudonym"))
+
+
+@query("SELECT c_mktsegment, count(*) AS orders, sum(o_totalprice::DECIMAL(18,2)) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def hash_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides masked on their own still meet on the pseudonym."""
+    left = read(spark, sf_dir, "orders").select(pseudonym(F.col("o_custkey").cast("string"), KEY).alias("who"), "o_totalprice")
+    right = read(spark, sf_dir, "customer").select(pseudonym(F.col("c_custkey").cast("string"), KEY).alias("who"), "c_mktsegment")
+    return left.join(right, "who").groupBy("c_mktsegment").agg(F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 <> 2 AS matches, false AS other_value FROM customer")
+def key_rotation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudonyms of two keys, one of them earlier, and of a third that isn't known."""
+    other = KEY.for_purpose("something else")
+    v = F.col("c_name")
+    made = F.when(F.col("c_custkey") % 3 == 0, pseudonym(v, KEY)).when(F.col("c_custkey") % 3 == 1, pseudonym(v, OLD_KEY)).otherwise(pseudonym(v, other))
+    rows = read(spark, sf_dir, "customer").withColumn("made", made)
+    return rows.select("c_custkey", pseudonym_matches(v, F.col("made"), [KEY, OLD_KEY]).alias("matches"), pseudonym_matches(F.concat(v, F.lit("x")), F.col("made"), [KEY, OLD_KEY]).alias("other_value"))
+
+
+@query("SELECT c_custkey, c_name, true AS is_token FROM customer")
+def tokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import tempfile
+    import uuid
+
+    from cloakframe.operators.vault import Vault
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cloakframe-vault-')}"
+    vault = Vault(spark, f"{base.rstrip('/')}/vault-{uuid.uuid4().hex}")
+    masked = vault.tokenize(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "FULL_NAME")
+    back = vault.detokenize(masked, "c_name", "value")
+    return back.select("c_custkey", F.col("value").alias("c_name"), F.col("c_name").rlike("^tok_full_name_[A-Za-z0-9_-]{16}$").alias("is_token"))
+
+
+# ---- checksums and signals ----
+
+
+@query(
+    f"""SELECT o_orderkey, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN substr(card, i, 1)::INT
+    WHEN substr(card, i, 1)::INT > 4 THEN substr(card, i, 1)::INT * 2 - 9 ELSE substr(card, i, 1)::INT * 2 END)) % 10 = 0 AS ok, false AS too_short FROM (SELECT o_orderkey, {S_CARD} AS card FROM orders)"""
+)
+def luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", checksums.luhn(CARD).alias("ok"), checksums.luhn(F.lit("00")).alias("too_short"))
+
+
+@query(f"SELECT c_custkey, (substr({S_IBAN}, 5) || '1217' || substr({S_IBAN}, 3, 2))::HUGEINT % 97 = 1 AS ok FROM customer")
+def iban_mod97(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", checksums.iban(IBAN).alias("ok"))
+
+
+_AHV = "('756' || lpad((c_custkey * 37)::VARCHAR, 10, '0'))"
+
+
+@query(f"SELECT c_custkey, (10 - list_sum(list_transform(range(1, 13), lambda i: substr(v, i, 1)::INT * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 = substr(v, 13, 1)::INT AS ok FROM (SELECT c_custkey, {_AHV} AS v FROM customer)")
+def swiss_ahv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.concat(F.lit("756"), F.lpad((F.col("c_custkey") * 37).cast("string"), 10, "0"))
+    return read(spark, sf_dir, "customer").select("c_custkey", checksums.swiss_ahv(v).alias("ok"))
+
+
+@query(f"SELECT p_partkey, upper({s_alnum('p_name')}) AS compacted, {s_digits('p_brand')} AS digits FROM part")
+def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", checksums.compact(F.col("p_name")).alias("compacted"), checksums.digits_only(F.col("p_brand")).alias("digits"))
+
+
+@query("SELECT doc_id, length(text)::INT AS length, length(regexp_replace(text, '[^0-9]', '', 'g'))::INT AS digits, length(regexp_replace(text, '[^A-Z]', '', 'g'))::INT AS upper, regexp_matches(text, '[A-Z]{6}') AS upper_run FROM documents")
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", checksums.signals(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+# ---- text ----
+
+_B = "([^A-Za-z0-9_]|^|$)"
+S_FOUND = {
+    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}",
+    "ipv4": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\b",
+}
+
+
+def _found(table: str, key: str, column: str, name: str) -> str:
+    return f"SELECT {key}, unnest(regexp_extract_all({column}, '{S_FOUND[name]}')) AS value FROM {table} WHERE {column} IS NOT NULL"
+
+
+@query(_found("documents", "doc_id", "text", "email"))
+def scan_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"), "text", ["doc_id"]).filter("detector = 'email'").select("doc_id", "value")
+
+
+@query(_found("documents", "doc_id", "text", "ipv4"))
+def scan_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"), "text", ["doc_id"]).filter("detector = 'ipv4'").select("doc_id", "value")
+
+
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN substr(d, i, 1)::INT WHEN substr(d, i, 1)::INT > 4 THEN substr(d, i, 1)::INT * 2 - 9 ELSE substr(d, i, 1)::INT * 2 END)) % 10 = 0"
+
+
+@query(f"SELECT doc_id, value FROM (SELECT doc_id, value, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9](?:[ \\-]?[0-9]){{11,18}}\\b')) AS value FROM documents WHERE text IS NOT NULL)) WHERE {_LUHN}")
+def scan_pan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"), "text", ["doc_id"]).filter("detector = 'payment-card'").select("doc_id", "value")
+
+
+@query()
+def findings_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return scan(docs, "text", ["source", "lang"]).rollup("category", "detector", "lang").agg(F.count("*").alias("findings"))
+
+
+@query()
+def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "pages"), "html", ["page_id"])
+
+
+@query()
+def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", mask_text(F.col("text"), STRICT, KEY).alias("text"))
+
+
+@query("SELECT conv_id, turn, text FROM conversations")
+def mask_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is found in these, so all texts come back as they are."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", mask_text(F.col("text"), STRICT, KEY).alias("text"))
+
+
+@query("SELECT doc_id, 0::BIGINT AS left_over FROM documents WHERE false")
+def mask_documents_leaves_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses and cards that masked texts still have: none."""
+    masked = read(spark, sf_dir, "documents").select("doc_id", mask_text(F.col("text"), STRICT, KEY).alias("text"))
+    return scan(masked, "text", ["doc_id"]).filter("detector in ('email', 'payment-card') and value not like '%*%'").groupBy("doc_id").agg(F.count("*").alias("left_over"))
+
+
+@query(
+    f"SELECT c_custkey, 'EMAIL' AS of_email, CASE WHEN (substr({S_IBAN}, 5) || '1217' || substr({S_IBAN}, 3, 2))::HUGEINT % 97 = 1 THEN 'IBAN' END AS of_iban, CAST(NULL AS VARCHAR) AS of_segment FROM customer"
+)
+def classify_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", classify(F.concat(F.lit("  "), EMAIL)).alias("of_email"), classify(IBAN).alias("of_iban"), classify(F.col("c_mktsegment")).alias("of_segment"))
+
+
+@query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS email, '{PH}' AS segment FROM customer")
+def mask_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUTO without a category looks at the value: what it recognises is masked as such, the rest redacted."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", EMAIL.alias("email"), F.col("c_mktsegment").alias("segment"))
+    return mask(_meta(rows, email=Declaration(), segment=Declaration()), ENGINE)
+
+
+@query("SELECT c_custkey, regexp_replace(regexp_replace(c_name, '[0-9]', 'd', 'g'), '[A-Z]', 'U', 'g') <> '' AS same_shape FROM customer")
+def mask_preserve_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "d"), "[A-Z]", "U"), "[a-ce-z]", "l")
+    rows = read(spark, sf_dir, "customer").withColumn("masked", preserve_format(F.col("c_name"), KEY))
+    return rows.select("c_custkey", (F.regexp_replace(shape(F.col("masked")), "l|d", "x") == F.regexp_replace(shape(F.col("c_name")), "l|d", "x")).alias("same_shape"))
+
+
+# ---- nested values ----
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("card 4111111111111111 line "), F.col("l_linenumber").cast("string")).alias("note")))).alias("lines"))
+    return read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "lines")
+
+
+@query(f"SELECT l_orderkey AS o_orderkey, l_linenumber, 'card {'**** **** **** 1111'} line ' || l_linenumber AS note FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+def mask_nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text within an array of structs is scanned."""
+    return mask(_nested(spark, sf_dir), ENGINE).select("o_orderkey", F.explode("lines").alias("line")).select("o_orderkey", "line.*")
+
+
+@query("SELECT l_orderkey AS o_orderkey, least(count(*), 2)::BIGINT AS kept FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
+def truncate_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(_nested(spark, sf_dir), Engine(Policy(max_elements=2), KEY)).select("o_orderkey", F.size("lines").cast("long").alias("kept"))
+
+
+@query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS masked_key, c_mktsegment AS value FROM customer")
+def mask_map_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.create_map(EMAIL, F.col("c_mktsegment")).alias("m"))
+    return mask(rows, ENGINE).select("c_custkey", F.explode("m").alias("masked_key", "value"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS DOUBLE) AS balance FROM customer")
+def drop_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dropped member of a struct is null; a container that is declared as a whole becomes null."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name")).alias("who"), F.struct(F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name")).alias("account", metadata=metadata(Declaration("ACCOUNT_NUMBER"))))
+    out = mask(rows, Engine(key=KEY, overrides=Overrides(dropped=frozenset({"who.name"}))))
+    return out.select("c_custkey", "who.segment", "who.name", "account.balance")
+
+
+@query("SELECT c_custkey, c_name AS shallow, CAST(NULL AS VARCHAR) AS deep FROM customer")
+def depth_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("a"), F.struct(F.col("c_name").alias("b")).alias("c")).alias("s"))
+    return mask(rows, Engine(Policy(max_depth=2), KEY)).select("c_custkey", F.col("s.a").alias("shallow"), F.col("s.c.b").alias("deep"))
+
+
+@query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS email FROM customer")
+def mask_value_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A struct of one text is masked within."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.struct(EMAIL.alias("value")).alias("email", metadata=metadata(Declaration("EMAIL"))))
+    return mask(rows, ENGINE).select("c_custkey", F.col("email.value").alias("email"))
+
+
+# ---- JSON, database errors, logs, records ----
+
+
+@query(f"SELECT c_custkey, '{{\"c_custkey\":' || c_custkey || ',\"email\":\"' || {s_email(S_EMAIL)} || '\",\"c_acctbal\":\"{PH}\"}}' AS json FROM customer")
+def json_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", EMAIL.alias("email"), "c_name", "c_acctbal")
+    typed = _meta(rows, c_custkey=Keep("a surrogate key"), email=Declaration("EMAIL"), c_acctbal=Declaration("FINANCIAL_AMOUNT"))
+    out = serialise(typed, Engine(key=KEY, overrides=Overrides(dropped=frozenset({"c_name"}))))
+    return out.select(F.get_json_object("json", "$.c_custkey").cast("long").alias("c_custkey"), "json")
+
+
+@query("SELECT event_id, replace(props, ' ', '') AS props FROM events")
+def json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", F.regexp_replace(mask_json(F.col("props"), STRICT, KEY), " ", "").alias("props"))
+
+
+_ERRORS = [
+    ("23505", "duplicate key value violates unique constraint \"customer_email_key\"", "Key (email)=(x) already exists."),
+    ("23502", "null value in column \"name\"", "Failing row contains (1, secret, null)."),
+    ("23000", "Duplicate entry 'Mustermann9910' for key 'customer.customer_email_key'", None),
+    ("42601", "syntax error at or near \"slect\"", None),
+    ("22001", "value too long: 'abc def'", "Key (a, b)=(1, (2)) is not present."),
+    (None, "connection lost", ""),
+]
+
+
+def _literal(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_VALUES = "(VALUES " + ", ".join(f"({_literal(a)}, {_literal(b)}, {_literal(c)})" for a, b, c in _ERRORS) + ") t(sqlstate, message, detail)"
+
+
+def _errors(spark: SparkSession) -> DataFrame:
+    ship(spark)
+    return spark.createDataFrame(_ERRORS, "sqlstate string, message string, detail string")
+
+
+@query(f"SELECT sqlstate, regexp_replace(detail, '\\)=\\(.*\\)', ')=({PH})', 'gs') AS detail FROM {_VALUES}")
+def dberror_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _errors(spark).select("sqlstate", dberrors.key_values(F.col("detail")).alias("detail"))
+
+
+@query(f"SELECT sqlstate, CASE WHEN detail = '' THEN detail WHEN contains(detail, ')=(') THEN regexp_replace(detail, '\\)=\\(.*\\)', ')=({PH})', 'gs') END AS detail FROM {_VALUES}")
+def dberror_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _errors(spark).select("sqlstate", dberrors.detail(F.col("detail")).alias("detail"))
+
+
+@query(f"SELECT sqlstate, CASE substr(sqlstate, 1, 2) {' '.join(f'WHEN {_literal(k)} THEN {_literal(v)}' for k, v in dberrors.CLASSES.items())} ELSE 'Generic' END AS error_class FROM {_VALUES}")
+def dberror_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _errors(spark).select("sqlstate", dberrors.error_class(F.col("sqlstate")).alias("error_class"))
+
+
+@query()
+def dberror_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = ["severity", "schema", "table", "column", "constraint", "hint", "where"]
+    rows = _errors(spark).select("*", *[F.lit(None).cast("string").alias(n) for n in blank])
+    return rows.select(*dberrors.sanitized(STRICT, KEY))
+
+
+@query("SELECT o_orderkey, CASE WHEN i < 16 THEN 'cause ' || i ELSE '****' END AS message FROM orders, range(18) r(i)")
+def dberror_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    causes = F.transform(F.sequence(F.lit(0), F.lit(17)), lambda i: F.concat(F.lit("cause "), i.cast("string")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.explode(dberrors.chain(causes)).alias("message"))
+
+
+@query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS of_email, '{PH}' AS of_text, '<double>' AS of_number FROM customer")
+def bind_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", dberrors.parameter(EMAIL, "string", STRICT, KEY).alias("of_email"), dberrors.parameter(F.col("c_mktsegment"), "string").alias("of_text"), dberrors.parameter(F.col("c_acctbal"), "double").alias("of_number"))
+
+
+@query(f"SELECT c_custkey, 'mail to ' || {s_email(S_EMAIL)} || ' sent' AS message, 'java.sql.SQLException' AS class_name FROM customer")
+def log_events_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ph = F.create_map(F.lit("user"), EMAIL)
+    thrown = F.array(F.struct(F.lit("java.sql.SQLException").alias("class_name"), F.concat(F.lit("for "), EMAIL).alias("message"), F.array(F.lit("a.b(C.java:1)")).alias("stack")))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.lit("mail to {} sent").alias("template"), F.array(EMAIL).alias("args"), ph.alias("mdc"), thrown.alias("thrown"))
+    return mask_events(rows, ENGINE).select("c_custkey", "message", F.col("thrown")[0]["class_name"].alias("class_name"))
+
+
+@query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS value, {s_email(S_EMAIL)} AS header, '{PH}' AS token FROM customer")
+def records_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("binary").alias("value"))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").cast("binary").alias("key"), EMAIL.cast("binary").alias("value"), F.array(header("Auth", F.lit("abc")), header("reply-to", EMAIL)).alias("headers"), F.lit("t").alias("topic"))
+    out = mask_records(rows, ENGINE, Settings.of({"headers.redact": "auth"}))
+    text = lambda c: c.cast("string")
+    return out.select(text(F.col("key")).cast("long").alias("c_custkey"), text(F.col("value")).alias("value"), text(F.col("headers")[1]["value"]).alias("header"), text(F.col("headers")[0]["value"]).alias("token"))
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_mask_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's plan over a batch of its records."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").cast("binary").alias("key"), F.col("event_type").cast("binary").alias("value"), F.lit("events").alias("topic"))
+    return mask_records(rows, ENGINE).select(F.col("key").cast("string").cast("long").alias("event_id"), F.col("value").cast("string").alias("event_type"))
