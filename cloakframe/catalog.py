@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import checksums, maskers
@@ -117,20 +117,35 @@ def s_hash(x: str, key: Key = KEY) -> str:
     return f"'~{key.id}:' || replace(replace(rtrim(to_base64({head}), '='), '+', '-'), '/', '_')"
 
 
-# ---- derived values ----
+# ---- derived values: columns are made only once there is a session ----
 
-IBAN = F.concat(F.lit("CH93"), F.lpad(F.col("c_custkey").cast("string"), 17, "0"))
 S_IBAN = "('CH93' || lpad(c_custkey::VARCHAR, 17, '0'))"
-EMAIL = F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.com"))
 S_EMAIL = "(lower(replace(c_name, '#', '.')) || '@' || lower(c_mktsegment) || '.example.com')"
-CARD = F.concat(F.lit("4"), F.lpad(F.col("o_orderkey").cast("string"), 15, "0"))
 S_CARD = "('4' || lpad(o_orderkey::VARCHAR, 15, '0'))"
-PHONE = F.concat(F.lit("+41 79 "), F.lpad((F.col("c_custkey") * 7919 % 10000000).cast("string"), 7, "0"))
 S_PHONE = "('+41 79 ' || lpad((c_custkey * 7919 % 10000000)::VARCHAR, 7, '0'))"
-IP = F.concat_ws(".", F.lit("10"), (F.col("user_id") % 256).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("77"))
 S_IP = "('10.' || (user_id % 256)::VARCHAR || '.' || (event_id % 256)::VARCHAR || '.77')"
 
 
+def _iban() -> Column:
+    return F.concat(F.lit("CH93"), F.lpad(F.col("c_custkey").cast("string"), 17, "0"))
+
+
+def _email() -> Column:
+    return F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.com"))
+
+
+def _card() -> Column:
+    return F.concat(F.lit("4"), F.lpad(F.col("o_orderkey").cast("string"), 15, "0"))
+
+
+def _phone() -> Column:
+    return F.concat(F.lit("+41 79 "), F.lpad((F.col("c_custkey") * 7919 % 10000000).cast("string"), 7, "0"))
+
+
+def _ip() -> Column:
+    return F.concat_ws(".", F.lit("10"), (F.col("user_id") % 256).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("77"))
+
+
 def _meta(df: DataFrame, **declared: Declaration | Keep) -> DataFrame:
     return df.select(*[F.col(c).alias(c, metadata=metadata(declared[c])) if c in declared else F.col(c) for c in df.columns])
 
@@ -140,7 +155,7 @@ def _meta(df: DataFrame, **declared: Declaration | Keep) -> DataFrame:
 
 @query(f"SELECT c_custkey, {s_name('c_name')} AS c_name, {s_email(S_EMAIL)} AS email, {s_iban(S_IBAN, 4)} AS iban, {s_hash('c_custkey::VARCHAR')} AS customer_id, CAST(0 AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer")
 def mask_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", EMAIL.alias("email"), IBAN.alias("iban"), F.col("c_custkey").cast("string").alias("customer_id"), "c_acctbal", "c_mktsegment")
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", _email().alias("email"), _iban().alias("iban"), F.col("c_custkey").cast("string").alias("customer_id"), "c_acctbal", "c_mktsegment")
     return mask(_meta(rows, c_name=Declaration("FULL_NAME"), email=Declaration("EMAIL"), iban=Declaration("IBAN"), customer_id=Declaration("CUSTOMER_ID"), c_acctbal=Declaration("FINANCIAL_AMOUNT"), c_mktsegment=Keep("a market segment is public")), ENGINE)
 
 
@@ -156,22 +171,22 @@ def mask_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS masked, {s_email('c_name')} AS no_address FROM customer")
 def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select("c_custkey", maskers.email(EMAIL, PH).alias("masked"), maskers.email(F.col("c_name"), PH).alias("no_address"))
+    return read(spark, sf_dir, "customer").select("c_custkey", maskers.email(_email(), PH).alias("masked"), maskers.email(F.col("c_name"), PH).alias("no_address"))
 
 
 @query(f"SELECT c_custkey, {s_iban(S_IBAN, 4)} AS masked, {s_iban(S_IBAN, 0)} AS bare, {s_iban('c_name', 4)} AS no_iban FROM customer")
 def mask_iban(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select("c_custkey", maskers.iban(IBAN, PH).alias("masked"), maskers.iban(IBAN, PH, 0).alias("bare"), maskers.iban(F.col("c_name"), PH).alias("no_iban"))
+    return read(spark, sf_dir, "customer").select("c_custkey", maskers.iban(_iban(), PH).alias("masked"), maskers.iban(_iban(), PH, 0).alias("bare"), maskers.iban(F.col("c_name"), PH).alias("no_iban"))
 
 
 @query(f"SELECT o_orderkey, {s_pan(S_CARD)} AS masked, {s_pan('o_orderkey::VARCHAR')} AS too_short FROM orders")
 def mask_pan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select("o_orderkey", maskers.pan(CARD, PH).alias("masked"), maskers.pan(F.col("o_orderkey").cast("string"), PH).alias("too_short"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", maskers.pan(_card(), PH).alias("masked"), maskers.pan(F.col("o_orderkey").cast("string"), PH).alias("too_short"))
 
 
 @query(f"SELECT c_custkey, {s_phone(S_PHONE)} AS masked, {s_phone(f'substr({S_PHONE}, 2)')} AS local, {s_phone('c_mktsegment')} AS no_phone FROM customer")
 def mask_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select("c_custkey", maskers.phone(PHONE, PH).alias("masked"), maskers.phone(F.substring(PHONE, 2, 40), PH).alias("local"), maskers.phone(F.col("c_mktsegment"), PH).alias("no_phone"))
+    return read(spark, sf_dir, "customer").select("c_custkey", maskers.phone(_phone(), PH).alias("masked"), maskers.phone(F.substring(_phone(), 2, 40), PH).alias("local"), maskers.phone(F.col("c_mktsegment"), PH).alias("no_phone"))
 
 
 @query(f"SELECT p_partkey, {s_name('p_name')} AS masked FROM part")
@@ -182,7 +197,7 @@ def mask_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT event_id, regexp_replace({S_IP}, '\\.[0-9]+$', '.0') AS v4, '2001:db8:' || lower(to_hex(user_id)) || '::' AS v6, '{PH}' AS no_ip FROM events")
 def mask_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     v6 = F.concat(F.lit("2001:db8:"), F.lower(F.hex("user_id")), F.lit(":8d3::1"))
-    return read(spark, sf_dir, "events").select("event_id", maskers.ip(IP, PH).alias("v4"), maskers.ip(v6, PH).alias("v6"), maskers.ip(F.col("event_type"), PH).alias("no_ip"))
+    return read(spark, sf_dir, "events").select("event_id", maskers.ip(_ip(), PH).alias("v4"), maskers.ip(v6, PH).alias("v6"), maskers.ip(F.col("event_type"), PH).alias("no_ip"))
 
 
 @query(f"SELECT o_orderkey, date_trunc('year', o_orderdate)::TIMESTAMP AS as_timestamp, date_trunc('year', o_orderdate)::DATE AS as_date, strftime(o_orderdate, '%Y') AS as_text, '{PH}' AS no_date FROM orders")
@@ -267,12 +282,12 @@ def tokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHEN substr(card, i, 1)::INT > 4 THEN substr(card, i, 1)::INT * 2 - 9 ELSE substr(card, i, 1)::INT * 2 END)) % 10 = 0 AS ok, false AS too_short FROM (SELECT o_orderkey, {S_CARD} AS card FROM orders)"""
 )
 def luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select("o_orderkey", checksums.luhn(CARD).alias("ok"), checksums.luhn(F.lit("00")).alias("too_short"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", checksums.luhn(_card()).alias("ok"), checksums.luhn(F.lit("00")).alias("too_short"))
 
 
 @query(f"SELECT c_custkey, (substr({S_IBAN}, 5) || '1217' || substr({S_IBAN}, 3, 2))::HUGEINT % 97 = 1 AS ok FROM customer")
 def iban_mod97(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select("c_custkey", checksums.iban(IBAN).alias("ok"))
+    return read(spark, sf_dir, "customer").select("c_custkey", checksums.iban(_iban()).alias("ok"))
 
 
 _AHV = "('756' || lpad((c_custkey * 37)::VARCHAR, 10, '0'))"
@@ -358,13 +373,13 @@ def mask_documents_leaves_nothing(spark: SparkSession, sf_dir: str) -> DataFrame
     f"SELECT c_custkey, 'EMAIL' AS of_email, CASE WHEN (substr({S_IBAN}, 5) || '1217' || substr({S_IBAN}, 3, 2))::HUGEINT % 97 = 1 THEN 'IBAN' END AS of_iban, CAST(NULL AS VARCHAR) AS of_segment FROM customer"
 )
 def classify_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select("c_custkey", classify(F.concat(F.lit("  "), EMAIL)).alias("of_email"), classify(IBAN).alias("of_iban"), classify(F.col("c_mktsegment")).alias("of_segment"))
+    return read(spark, sf_dir, "customer").select("c_custkey", classify(F.concat(F.lit("  "), _email())).alias("of_email"), classify(_iban()).alias("of_iban"), classify(F.col("c_mktsegment")).alias("of_segment"))
 
 
 @query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS email, '{PH}' AS segment FROM customer")
 def mask_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUTO without a category looks at the value: what it recognises is masked as such, the rest redacted."""
-    rows = read(spark, sf_dir, "customer").select("c_custkey", EMAIL.alias("email"), F.col("c_mktsegment").alias("segment"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", _email().alias("email"), F.col("c_mktsegment").alias("segment"))
     return mask(_meta(rows, email=Declaration(), segment=Declaration()), ENGINE)
 
 
@@ -396,7 +411,7 @@ def truncate_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS masked_key, c_mktsegment AS value FROM customer")
 def mask_map_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "customer").select("c_custkey", F.create_map(EMAIL, F.col("c_mktsegment")).alias("m"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.create_map(_email(), F.col("c_mktsegment")).alias("m"))
     return mask(rows, ENGINE).select("c_custkey", F.explode("m").alias("masked_key", "value"))
 
 
@@ -417,7 +432,7 @@ def depth_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS email FROM customer")
 def mask_value_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A struct of one text is masked within."""
-    rows = read(spark, sf_dir, "customer").select("c_custkey", F.struct(EMAIL.alias("value")).alias("email", metadata=metadata(Declaration("EMAIL"))))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.struct(_email().alias("value")).alias("email", metadata=metadata(Declaration("EMAIL"))))
     return mask(rows, ENGINE).select("c_custkey", F.col("email.value").alias("email"))
 
 
@@ -426,7 +441,7 @@ def mask_value_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c_custkey, '{{\"c_custkey\":' || c_custkey || ',\"email\":\"' || {s_email(S_EMAIL)} || '\",\"c_acctbal\":\"{PH}\"}}' AS json FROM customer")
 def json_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "customer").select("c_custkey", EMAIL.alias("email"), "c_name", "c_acctbal")
+    rows = read(spark, sf_dir, "customer").select("c_custkey", _email().alias("email"), "c_name", "c_acctbal")
     typed = _meta(rows, c_custkey=Keep("a surrogate key"), email=Declaration("EMAIL"), c_acctbal=Declaration("FINANCIAL_AMOUNT"))
     out = serialise(typed, Engine(key=KEY, overrides=Overrides(dropped=frozenset({"c_name"}))))
     return out.select(F.get_json_object("json", "$.c_custkey").cast("long").alias("c_custkey"), "json")
@@ -489,21 +504,21 @@ def dberror_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS of_email, '{PH}' AS of_text, '<double>' AS of_number FROM customer")
 def bind_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select("c_custkey", dberrors.parameter(EMAIL, "string", STRICT, KEY).alias("of_email"), dberrors.parameter(F.col("c_mktsegment"), "string").alias("of_text"), dberrors.parameter(F.col("c_acctbal"), "double").alias("of_number"))
+    return read(spark, sf_dir, "customer").select("c_custkey", dberrors.parameter(_email(), "string", STRICT, KEY).alias("of_email"), dberrors.parameter(F.col("c_mktsegment"), "string").alias("of_text"), dberrors.parameter(F.col("c_acctbal"), "double").alias("of_number"))
 
 
 @query(f"SELECT c_custkey, 'mail to ' || {s_email(S_EMAIL)} || ' sent' AS message, 'java.sql.SQLException' AS class_name FROM customer")
 def log_events_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ph = F.create_map(F.lit("user"), EMAIL)
-    thrown = F.array(F.struct(F.lit("java.sql.SQLException").alias("class_name"), F.concat(F.lit("for "), EMAIL).alias("message"), F.array(F.lit("a.b(C.java:1)")).alias("stack")))
-    rows = read(spark, sf_dir, "customer").select("c_custkey", F.lit("mail to {} sent").alias("template"), F.array(EMAIL).alias("args"), ph.alias("mdc"), thrown.alias("thrown"))
+    ph = F.create_map(F.lit("user"), _email())
+    thrown = F.array(F.struct(F.lit("java.sql.SQLException").alias("class_name"), F.concat(F.lit("for "), _email()).alias("message"), F.array(F.lit("a.b(C.java:1)")).alias("stack")))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.lit("mail to {} sent").alias("template"), F.array(_email()).alias("args"), ph.alias("mdc"), thrown.alias("thrown"))
     return mask_events(rows, ENGINE).select("c_custkey", "message", F.col("thrown")[0]["class_name"].alias("class_name"))
 
 
 @query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS value, {s_email(S_EMAIL)} AS header, '{PH}' AS token FROM customer")
 def records_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("binary").alias("value"))
-    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").cast("binary").alias("key"), EMAIL.cast("binary").alias("value"), F.array(header("Auth", F.lit("abc")), header("reply-to", EMAIL)).alias("headers"), F.lit("t").alias("topic"))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").cast("binary").alias("key"), _email().cast("binary").alias("value"), F.array(header("Auth", F.lit("abc")), header("reply-to", _email())).alias("headers"), F.lit("t").alias("topic"))
     out = mask_records(rows, ENGINE, Settings.of({"headers.redact": "auth"}))
     text = lambda c: c.cast("string")
     return out.select(text(F.col("key")).cast("long").alias("c_custkey"), text(F.col("value")).alias("value"), text(F.col("headers")[1]["value"]).alias("header"), text(F.col("headers")[0]["value"]).alias("token"))
