@@ -11,6 +11,8 @@ checksum 0; a null doc_id is a key like any other. Repeated rows get slots of th
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,9 +108,29 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-def _crc32_sql(data: str) -> str:
-    """crc32 of a blob in DuckDB, which has no such function."""
-    step = "list_reduce([c::BIGINT, 1, 1, 1, 1, 1, 1, 1, 1], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
-    table = f"(SELECT list({step} ORDER BY c) FROM range(256) r(c))"
-    values = f"list_transform(range(octet_length({data})), lambda i: ('0x' || substr(hex({data}), (2 * i + 1)::BIGINT, 2))::BIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda a, b: xor(a >> 8, list_extract({table}, (xor(a, b) & 255) + 1))), 4294967295)"
+def _crc32_sql(digits: str) -> str:
+    """crc32 of the bytes with these hex digits in DuckDB, which has no such function: by a table."""
+    values = f"list_transform(range(length({digits}) // 2), lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT)"
+    # The table's entries are the checksums' inner states after each single byte.
+    table = [zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)]
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, b: xor(c >> 8, list_extract({table}::BIGINT[], xor(c, b) % 256 + 1))), 4294967295)"
+
+
+def op7_sql(bits: int = BITS, shards: int = SHARDS) -> str:
+    """DuckDB SQL for the contract query."""
+    digits, states = curve_table(3)
+    levels, source = [], "cells"
+    for k in reversed(range(bits)):
+        at = f"s * 8 + ((d0 >> {k}) & 1) + 2 * ((d1 >> {k}) & 1) + 4 * ((d2 >> {k}) & 1) + 1"
+        levels.append(f"l{k} AS (SELECT * REPLACE (list_extract({states}, {at}) AS s, h * 8 + list_extract({digits}, {at}) AS h) FROM {source})")
+        source = f"l{k}"
+    code = f"{_crc32_sql('x')} % {1 << bits}"
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents),
+    sources AS (SELECT source, {code} AS d0 FROM (SELECT DISTINCT source, hex(encode(source)) AS x FROM texts)),
+    langs AS (SELECT lang, {code} AS d1 FROM (SELECT DISTINCT lang, hex(encode(lang)) AS x FROM texts)),
+    facts AS (SELECT doc_id, strlen(text) + 1 AS size, {_crc32_sql("x")} AS text_crc32, d0, d1 FROM (SELECT *, hex(encode(text)) AS x FROM texts) JOIN sources USING (source) JOIN langs USING (lang)),
+    cells AS (SELECT *, least(floor(2 * log2(greatest(size, 1)::DOUBLE))::INT, {(1 << bits) - 1}) AS d2, 0 AS s, 0::BIGINT AS h FROM facts),
+    {", ".join(levels)},
+    ranked AS (SELECT *, row_number() OVER (ORDER BY h, md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM {source}),
+    cut AS (SELECT *, (r * {shards} // n)::INT AS shard FROM ranked)
+    SELECT doc_id, size, text_crc32, 'rows' AS law, shard, r - (shard * n + {shards - 1}) // {shards} AS slot, CAST(NULL AS INT) AS grown_shard, h AS hilbert FROM cut"""

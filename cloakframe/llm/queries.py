@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakframe.llm.extract import op10_dom_marginals
-from cloakframe.llm.hilbert import op7_hilbert_shards
+from cloakframe.llm.hilbert import op7_hilbert_shards, op7_sql
 from cloakframe.llm.langid import op1_language_id
 from cloakframe.llm.leaks import op9_edit_decontamination
 from cloakframe.llm.media import op5_iso_media
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_hilbert_shards": op7_sql()}

@@ -2,10 +2,11 @@ import itertools
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.llm.hilbert import hilbert_index, op7_hilbert_shards, run_bounds, shard_runs
+from cloakframe.llm.hilbert import hilbert_index, op7_hilbert_shards, op7_sql, run_bounds, shard_runs
 from helpers import DOCS, ODD
 
 
@@ -41,3 +42,14 @@ def test_runs_prune(spark):
 
 def test_empty(spark, tables):
     assert op7_hilbert_shards(spark, tables(documents=([], DOCS))).collect() == []
+
+
+def test_sql(spark, tables):
+    """Without the row whose id repeats, whose two rows may take either's slot."""
+    rows = [r for r in ODD if r[0] != 8]
+    d = tables(documents=(rows, DOCS))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    got = op7_hilbert_shards(spark, d)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.execute(op7_sql()).fetchall(), key=str)
+    assert got.columns == [x[0] for x in con.execute(op7_sql()).description]
