@@ -5,8 +5,7 @@ text's set of words has VIEWS fingerprints of 64 bits, from as many hash functio
 candidates where a view's fingerprints differ in 3 bits or fewer, by the trie self-join of each
 view; at a similarity of 0.8 on five-word shingles about 2 % of words differ, which one view
 bridges more often than not and eight views nearly always. Candidates are verified by the Jaccard
-similarity of their shingles, from the SKETCH least hashes of each text (all of them for a text
-with no more shingles than that). Groups are the components of verified links.
+similarity of all their shingles' 64-bit hashes. Groups are the components of verified links.
 
 Of each group the row with the least doc_id stays (null last; of repeated ids one row). A null
 text is an empty one; all texts without a word are copies of one another.
@@ -31,7 +30,6 @@ VIEWS = 8
 BUDGET = 3
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-SKETCH = 192
 _SALTS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for k in range(64)], np.uint64)
 
 
@@ -58,20 +56,19 @@ def view_fingerprints(sets: list[set[bytes]], views: int = VIEWS) -> np.ndarray:
     return out
 
 
-def sketch(w: list[bytes], size: int = SKETCH, shingle_words: int = SHINGLE_WORDS) -> bytes:
-    """The least 32-bit hashes of the text's shingles, ascending."""
-    h = np.unique(np.frombuffer(shingle_digests(w, shingle_words), ">u4")[::2])
-    return h[:size].astype("<u4").tobytes()
+def sketch(w: list[bytes], shingle_words: int = SHINGLE_WORDS) -> bytes:
+    """The 64-bit hashes of all the text's shingles, ascending."""
+    h = np.unique(np.frombuffer(shingle_digests(w, shingle_words), ">u8"))
+    return h.astype("<u8").tobytes()
 
 
-def similarity(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity from two sketches: of the least hashes of both, the share that both have."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two texts' shingle hashes."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    least = np.union1d(x, y)[:size]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return np.isin(both, least, assume_unique=True).sum() / len(least)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
 def marked(docs: DataFrame) -> DataFrame:

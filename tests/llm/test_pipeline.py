@@ -44,6 +44,14 @@ def test_sketches():
     assert near.similarity(b"", b"") == 1 and near.similarity(b"", near.sketch([b"x"])) == 0
 
 
+def test_similarity_is_exact_for_long_texts():
+    rng = random.Random(7)
+    for _ in range(20):
+        a = text(rng, 900)
+        b = changed(rng, a, 20)
+        assert near.similarity(near.sketch(words(a)), near.sketch(words(b))) == jaccard(a, b)
+
+
 def test_near_copies_against_brute_force(spark):
     rng = random.Random(2)
     rows = []
