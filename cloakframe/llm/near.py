@@ -1,11 +1,15 @@
-"""Near copies of whole texts: SimHash candidates in several views, verified on word shingles.
+"""Near copies of whole texts: candidates by shared rare shingles, verified on all shingles.
 
-Rows with the same words in the same order (A-Z in lower case) are copies. For the others, a
-text's set of words has VIEWS fingerprints of 64 bits, from as many hash functions. Texts link as
-candidates where a view's fingerprints differ in 3 bits or fewer, by the trie self-join of each
-view; at a similarity of 0.8 on five-word shingles about 2 % of words differ, which one view
-bridges more often than not and eight views nearly always. Candidates are verified by the Jaccard
-similarity of all their shingles' 64-bit hashes. Groups are the components of verified links.
+Rows with the same words in the same order (A-Z in lower case) are copies and become one. For the
+others, shingles of five words have an order, the same for all texts: those that are common in a
+sample of texts come last, the rest go by hash. Two texts whose sets of n and m shingles have a
+Jaccard similarity of t or more share one of their first n - ceil(t n) + 1 and m - ceil(t m) + 1
+shingles in that order, so texts that share none of these are no candidates, and no pair is missed,
+whatever the sample. A pair goes on if the places of its shared shingle leave room for the overlap
+that t needs, and is then verified by the similarity of all shingles' 64-bit hashes.
+
+Groups are the components of verified links. All pairs of a shingle with CROWD texts or fewer are
+tried. The texts of a more crowded one are first tried against one of them, the first.
 
 Of each group the row with the least doc_id stays (null last; of repeated ids one row). A null
 text is an empty one; all texts without a word are copies of one another.
@@ -13,6 +17,7 @@ text is an empty one; all texts without a word are copies of one another.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,40 +25,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cloakframe.llm.common import by_bytes, stored
 from cloakframe.llm.simhash import shingle_digests, words
-from cloakframe.llm.trie import components, links
+from cloakframe.llm.trie import components
 
-VIEWS = 8
-BUDGET = 3
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-_SALTS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for k in range(64)], np.uint64)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return h ^ (h >> np.uint64(32))
-
-
-def view_fingerprints(sets: list[set[bytes]], views: int = VIEWS) -> np.ndarray:
-    """[texts, views] majority fingerprints of each text's distinct words."""
-    out = np.zeros((len(sets), views), np.uint64)
-    on = [k for k, s in enumerate(sets) if s]
-    if not on:
-        return out
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w) for k in on for w in sets[k]], np.uint64)
-    sizes = np.array([len(sets[k]) for k in on])
-    starts = np.cumsum(sizes) - sizes
-    for v in range(views):
-        bits = np.unpackbits(_mix(h ^ _SALTS[v]).view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[on, v] = np.packbits(2 * sums > sizes[:, None], axis=1).view(np.uint64).ravel()
-    return out
+#: Texts, in expectation, that tell which shingles are common, and how many of them make one so.
+SAMPLE = 4000
+COMMON = 3
+COMMON_KEPT = 200_000
+#: Texts with one shingle of which all pairs are tried at once.
+CROWD = 32
 
 
 def sketch(w: list[bytes], shingle_words: int = SHINGLE_WORDS) -> bytes:
@@ -72,63 +57,133 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """docs' rows as a struct, with their words' hash, fingerprints and sketch."""
-    schema = StructType([*docs.schema.fields, StructField("__sig", StringType()), StructField("__views", ArrayType(LongType())), StructField("__sketch", BinaryType())])
+    """docs' rows with their words' hash."""
+    schema = StructType([*docs.schema.fields, StructField("__sig", StringType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sigs, views, sketches = batch.column(at).to_pylist(), [], [], []
+            sigs = [xxhash.xxh3_128_hexdigest(b" ".join(words(t))) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.string())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """texts (id, text): (id, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(words(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, hashes binary")
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, that many texts of a sample have, and how many. They only order the shingles."""
+    of = max(1, texts.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(sketch(words(t)), "<i8"))], names=["key"])
+
+    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(of)) == 0).select("id", "text")
+    counts = sample.mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= COMMON)
+    got = counts.orderBy(F.desc("count"), "key").limit(COMMON_KEPT).toArrow()
+    keys, n = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """texts (id, text): (key, id, n, at), the first of each text's n shingles and their places."""
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = common.value
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in by_bytes(texts):
-                cut = [words(t) for t in texts[a:b]]
-                sigs += [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in cut]
-                views.append(view_fingerprints([set(w) for w in cut]))
-                sketches += [sketch(w) for w in cut]
-            if not sigs:
+                firsts, sizes, places = [], [], []
+                for t in texts[a:b]:
+                    h = np.frombuffer(sketch(words(t)), "<u8")
+                    if len(keys):
+                        place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                        h = h[np.argsort(np.where(keys[place] == h, counts[place], 0), kind="stable")]
+                    sizes.append(len(h))
+                    firsts.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1])
+                    places.append(np.arange(len(firsts[-1]), dtype=np.int32))
+                many = [len(x) for x in firsts]
+                columns = [pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(ids[a:b], many)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.concatenate(places))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "at"])
+
+    return texts.select("id", "text").mapInArrow(run, "key long, id long, n int, at int")
+
+
+def shared(keys: DataFrame) -> DataFrame:
+    """The rows of keys (key, id, n, at) whose key another row has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            flat = np.concatenate(views).view(np.int64)
-            fingerprints = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], np.int32), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs), fingerprints, pa.array(sketches, pa.binary())], names=schema.names)
+            key = batch.column(0).to_numpy()
+            if held is not None and key[0] == before:
+                yield held
+            like = np.concatenate(([before is not None and key[0] == before], key[1:] == key[:-1]))
+            on = like | np.concatenate((like[1:], [False]))
+            yield batch.filter(pa.array(on))
+            held, before = (None if on[-1] else batch.slice(batch.num_rows - 1)), key[-1]
 
-    return docs.mapInArrow(run, schema)
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, keys.schema)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) whose sketches (sig, sketch) are similar enough."""
-    both = pairs.join(sketches.select(F.col("sig").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("sig").alias("b"), F.col("sketch").alias("y")), "b")
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """pairs (a, b) of texts (id, text) that are similar enough."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = stored(shingle_sets(texts.join(ends, "id", "left_semi")), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             on = [similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(on, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def candidates(one: DataFrame, other: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (key, id, n, at, root) of one key and different roots that may be similar enough."""
+    x = one.select("key", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "at", "root")])
+    y = other.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "at", "root")])
+    # What both have up to the shared shingle and after it, at most, against the least overlap.
+    most = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    near = x.join(y, "key").filter((F.col("root_x") != F.col("root_y")) & (most >= least / (1 + least) * (F.col("n_x") + F.col("n_y")) - 1e-6))
+    if one is other:
+        near = near.filter("id_x < id_y")
+    return near.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
-def near_groups(rows: DataFrame, least: float = SIMILARITY, bits: int = BUDGET) -> DataFrame:
-    """rows (sig, views, sketch): (sig, root) of all that have a verified link to another."""
-    seen = stored(rows.select("sig", F.posexplode("views").alias("view", "fp")).groupBy("view", "fp").agg(F.min("sig").alias("rep"), F.max("sig").alias("other")), "views")
-    # Texts with one fingerprint link to their representative, and representatives by the trie.
-    shared = seen.filter("rep <> other").select("view", "fp", "rep")
-    same = rows.select("sig", F.posexplode("views").alias("view", "fp")).join(shared, ["view", "fp"]).select(F.col("rep").alias("a"), F.col("sig").alias("b"))
-    near = links(seen.select("view", "fp"), bits)
-    reps = seen.select("view", "fp", "rep")
-    near = near.join(reps.select("view", F.col("fp").alias("a"), F.col("rep").alias("p")), ["view", "a"]).join(reps.select("view", F.col("fp").alias("b"), F.col("rep").alias("q")), ["view", "b"])
-    near = near.select(F.col("p").alias("a"), F.col("q").alias("b"))
-    pairs = stored(same.unionByName(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    sketches = stored(rows.join(ends, "sig", "left_semi").groupBy("sig").agg(F.first("sketch").alias("sketch")), "sketches")
-    return components(stored(verified(pairs, sketches, least), "verified")).withColumnRenamed("node", "sig")
+def near_groups(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """texts (id, text), ids distinct: (id, root) of all that have a verified link to another."""
+    keys = stored(shared(prefixes(texts, least)), "keys").withColumn("root", F.col("id"))
+    crowds = stored(keys.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct("id", "n", "at", "root")).alias("head")).filter(F.col("texts") > CROWD), "crowds")
+    few = keys.join(crowds, "key", "left_anti")
+    pairs = candidates(few, few, least).unionByName(candidates(crowds.select("key", "head.*"), keys, least)).distinct()
+    return components(stored(verified(stored(pairs, "pairs"), texts, least), "verified")).withColumnRenamed("node", "id")
 
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of each group of docs, with all its columns."""
     names = docs.columns
     rows = stored(marked(docs).withColumn("__row", F.monotonically_increasing_id()), "marked")
-    facts = rows.select("__row", "doc_id", F.col("__sig").alias("sig"), F.col("__views").alias("views"), F.col("__sketch").alias("sketch"))
-    roots = near_groups(facts.select("sig", "views", "sketch"), least)
     # Copies first become one, so a hot group is a single row before it meets its root.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    classes = facts.groupBy("sig").agg(F.min(rank).alias("first"))
-    stay = classes.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    classes = stored(rows.groupBy("__sig").agg(F.min(rank).alias("first")).select("first", F.col("first.__row").alias("id")), "classes")
+    texts = stored(rows.select(F.col("__row").alias("id"), "text").join(classes.select("id"), "id", "left_semi"), "texts")
+    roots = near_groups(texts, least)
+    stay = classes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return rows.join(stay, "__row", "left_semi").select(*[f"`{c}`" for c in names])

@@ -69,6 +69,21 @@ def test_near_copies_against_brute_force(spark):
     assert len(kept & close) <= 1 and {k for k in texts if k % 10 == 2} - close <= kept
 
 
+def test_block_edits(spark):
+    """Text appended, cut off or replaced in one block: each pair of 0.8 or more is found, no other."""
+    rng = random.Random(8)
+    rows, left = [], set()
+    for i in range(120):
+        w, n = text(rng, 300).split(), rng.randrange(10, 70)
+        put = text(rng, n).split()
+        other = (w + put, w[:-n], w[:100] + put + w[100 + n :])[i % 3]
+        a, b = " ".join(w), " ".join(other)
+        rows += [doc(2 * i, a), doc(2 * i + 1, b)]
+        left |= {2 * i} if jaccard(a, b) >= 0.8 else {2 * i, 2 * i + 1}
+    assert 130 < len(left) < 220
+    assert {r.doc_id for r in near.drop_near_copies(spark.createDataFrame(rows, DOCS)).collect()} == left
+
+
 def test_stages(spark, tables):
     rng = random.Random(3)
     good = [doc(i, text(rng, rng.randrange(30, 120)), "xx") for i in range(100, 160)]
