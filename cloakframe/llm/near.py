@@ -9,7 +9,8 @@ whatever the sample. A pair goes on if the places of its shared shingle leave ro
 that t needs, and is then verified by the similarity of all shingles' 64-bit hashes.
 
 Groups are the components of verified links. All pairs of a shingle with CROWD texts or fewer are
-tried. The texts of a more crowded one are first tried against one of them, the first.
+tried. The texts of a more crowded one are first tried against one of them, HEADS times over;
+then all its pairs whose texts are still of different components are tried.
 
 Of each group the row with the least doc_id stays (null last; of repeated ids one row). A null
 text is an empty one; all texts without a word are copies of one another.
@@ -39,6 +40,8 @@ COMMON = 3
 COMMON_KEPT = 200_000
 #: Texts with one shingle of which all pairs are tried at once.
 CROWD = 32
+#: Times that a crowd is tried against one of its texts before all pairs are.
+HEADS = 2
 
 
 def sketch(w: list[bytes], shingle_words: int = SHINGLE_WORDS) -> bytes:
@@ -169,11 +172,32 @@ def candidates(one: DataFrame, other: DataFrame, least: float) -> DataFrame:
 
 def near_groups(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """texts (id, text), ids distinct: (id, root) of all that have a verified link to another."""
-    keys = stored(shared(prefixes(texts, least)), "keys").withColumn("root", F.col("id"))
-    crowds = stored(keys.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct("id", "n", "at", "root")).alias("head")).filter(F.col("texts") > CROWD), "crowds")
-    few = keys.join(crowds, "key", "left_anti")
-    pairs = candidates(few, few, least).unionByName(candidates(crowds.select("key", "head.*"), keys, least)).distinct()
-    return components(stored(verified(stored(pairs, "pairs"), texts, least), "verified")).withColumnRenamed("node", "id")
+    keys = stored(shared(prefixes(texts, least)), "keys")
+    own = keys.withColumn("root", F.col("id"))
+    crowds = stored(keys.groupBy("key").agg(F.count("*").alias("texts")).filter(F.col("texts") > CROWD).select("key"), "crowds")
+    few, many = own.join(crowds, "key", "left_anti"), stored(keys.join(crowds, "key", "left_semi"), "many")
+    tried = links = roots = None
+    for turn in range(HEADS + 1):
+        # In a crowd only texts of different classes are still to be tried.
+        now = many.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")) if turn else many.withColumn("root", F.col("id"))
+        open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        now = stored(now.join(open_keys, "key", "left_semi"), "open")
+        if turn and now.isEmpty():
+            break
+        if turn < HEADS:
+            heads = now.groupBy("key").agg(F.min_by(F.struct("id", "n", "at", "root"), F.xxhash64("id", F.lit(turn))).alias("head")).select("key", "head.*")
+            pairs = candidates(heads, now, least)
+        else:
+            pairs = candidates(now, now, least)
+        if not turn:
+            pairs = pairs.unionByName(candidates(few, few, least)).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        more = stored(verified(pairs, texts, least), "verified")
+        tried, links = (pairs, more) if tried is None else (tried.unionByName(pairs), links.unionByName(more))
+        roots = components(links).withColumnRenamed("node", "id")
+    return roots
 
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -84,6 +84,16 @@ def test_block_edits(spark):
     assert {r.doc_id for r in near.drop_near_copies(spark.createDataFrame(rows, DOCS)).collect()} == left
 
 
+def test_one_base_and_many_edited_copies(spark):
+    """Copies that are similar to their base only, whose id is not the least, are one group by it."""
+    rng = random.Random(9)
+    base = text(rng, 300)
+    copies = [changed(rng, base, 5) for _ in range(100)]
+    assert all(jaccard(base, c) >= 0.8 for c in copies)
+    rows = [doc(i, t) for i, t in enumerate([*copies[:50], base, *copies[50:]])]
+    assert [r.doc_id for r in near.drop_near_copies(spark.createDataFrame(rows, DOCS)).collect()] == [0]
+
+
 def test_stages(spark, tables):
     rng = random.Random(3)
     good = [doc(i, text(rng, rng.randrange(30, 120)), "xx") for i in range(100, 160)]
