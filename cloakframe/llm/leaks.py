@@ -4,11 +4,16 @@ Text is compared in lower case with each run of white space as one space. An ite
 may have k = n * ERROR_RATE edits (insertions, deletions, substitutions of a character). Cut into
 k + 1 pieces, an occurrence within the budget has one piece unchanged at least; so all items'
 pieces are looked for at once by an Aho-Corasick automaton, and the surroundings of each hit are
-checked by Myers' bit-parallel distance. Nothing within the budget is missed.
+checked by Myers' bit-parallel distance. Nothing within the budget is missed. An item so short that
+its budget is zero must stand as whole words: next to its ends there is no letter or digit that
+would go on with the item's own (so `cat` isn't found in `category`).
 
 Items go to all tasks in blocks of at most BLOCK_CHARS characters, one pass over the documents
-each. Items of fewer than MIN_CHARS characters are no evidence and match nothing; null and empty
-items too. A null text holds nothing. Items that repeat are each reported.
+each. Null and empty items match nothing; neither do null texts, which hold nothing. Items that
+repeat are each reported, an item without an id too. Of equally good occurrences the first counts.
+Very long texts are searched whole. Repeated rows are each searched; an empty table of documents
+gives an empty one, and without items no text holds any. A column that has the name of the result
+is replaced; others stay.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from cloakframe.llm.common import prepare
 
 ERROR_RATE = 0.05
-MIN_CHARS = 25
 BLOCK_CHARS = 16 << 20
 LEAK = StructType([StructField(n, LongType()) for n in ("item_id", "distance", "item_chars", "start", "end")])
 
@@ -76,10 +80,16 @@ def myers(masks: dict[str, int], m: int, text: str, anchored: bool = False) -> t
     return best, end
 
 
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] neither begins nor ends within a run of letters and digits."""
+    cut = lambda k: 0 < k < len(text) and text[k - 1].isalnum() and text[k].isalnum()
+    return not cut(start) and not cut(end)
+
+
 class Matcher:
     """Finds items (item_id, plain text) in plain texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = ERROR_RATE):
         self.items = [(i, t, budget(len(t), rate)) for i, t in items]
         self.masks: dict[int, dict[str, int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
@@ -97,21 +107,25 @@ class Matcher:
         if not self.items or not text:
             return []
         starts: dict[int, set[int]] = {}
+        exact: dict[int, int] = {}
         for last, (size, places) in self.automaton.iter(text):
             for n, at in places:
-                starts.setdefault(n, set()).add(last + 1 - size - at)
+                if self.items[n][2]:
+                    starts.setdefault(n, set()).add(last + 1 - size - at)
+                elif n not in exact and whole(text, last + 1 - size, last + 1):
+                    exact[n] = last + 1 - size
         out = []
-        for n in sorted(starts):
+        for n in sorted(starts.keys() | exact.keys()):
             item_id, item, k = self.items[n]
-            if got := self._best(n, item, k, sorted(starts[n]), text):
+            got = (0, exact[n], exact[n] + len(item)) if n in exact else self._best(n, item, k, sorted(starts[n]), text)
+            if got:
                 out.append({"item_id": item_id, "distance": got[0], "item_chars": len(item), "start": got[1], "end": got[2]})
         return out
 
     def _best(self, n: int, item: str, k: int, starts: list[int], text: str) -> tuple[int, int, int] | None:
-        if min(starts) >= 0 or k == 0:
-            for s in starts:
-                if text.startswith(item, s) and s >= 0:
-                    return 0, s, s + len(item)
+        for s in starts:
+            if s >= 0 and text.startswith(item, s):
+                return 0, s, s + len(item)
         masks = self.masks.setdefault(n, masks_of(item))
         best, at = None, 0
         while at < len(starts):
@@ -141,14 +155,14 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     at = [f.name for f in rest].index("text")
     leaks = ArrayType(LEAK)
     kind = pa.list_(pa.struct([(f.name, pa.int64()) for f in LEAK.fields]))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_CHARS))
     out = docs.select(*[f"`{f.name}`" for f in rest])
     for block in range(blocks):
         # A block has BLOCK_CHARS characters, give or take the longest item.
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        texts = sorted((r.item_id, t) for r in own.collect() if len(t := plain(r.text)) >= MIN_CHARS)
+        texts = sorted(((r.item_id, t) for r in own.collect() if (t := plain(r.text))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         shared = spark.sparkContext.broadcast((f"{spark.sparkContext.applicationId}/{id(texts)}/{block}/{hash(tuple(texts))}", texts, rate))
         width = len(rest)
 
