@@ -28,24 +28,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder is set.
+    Where that setting is absent a temporary folder is set if all runs in this one process, as in
+    tests; RuntimeError on a cluster, whose executors couldn't read it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='cloakframe-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cloakframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage."""
+    """Writes df to the shared folder and reads it back, which cuts its lineage.
+
+    The shuffles of that write end with it, as nothing else can use them.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored wrote; only for frames that nothing reads any more."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't got, like name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold(key: str | Column, n: int) -> Column:

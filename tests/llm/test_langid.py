@@ -4,19 +4,24 @@ import random
 import numpy as np
 import pytest
 
-from cloakframe.llm.langid import PIECE, blocks, expected, op1_language_id, pieces, vocabulary, word_scores
+from cloakframe.llm.langid import Pieces, blocks, expected, op1_language_id, pieces, vocabulary, word_scores
 from helpers import DOCS, ODD, doc
 
 SYLLABLES = {"xx": ["ka", "lo", "mi", "tar", "sel"], "yy": ["ungh", "isch", "ver", "zwo", "pf"]}
 
 
 def slow(word, p, ids):
-    a = [1.0] + [0.0] * len(word)
+    """The sum over all segmentations, with its logarithm carried so that it doesn't underflow."""
+    a, log = [1.0] + [0.0] * len(word), 0.0
+    longest = max(map(len, ids))
     for i in range(1, len(word) + 1):
-        for k in range(1, min(PIECE, i) + 1):
+        for k in range(1, min(longest, i) + 1):
             if word[i - k : i] in ids:
                 a[i] += a[i - k] * p[ids[word[i - k : i]]]
-    return math.log(a[-1])
+        if a[i] < 1e-100:
+            log -= math.log(1e100)
+            a[: i + 1] = [0.0] * max(0, i - longest) + [x * 1e100 for x in a[max(0, i - longest) : i + 1]]
+    return math.log(a[-1]) + log
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +41,28 @@ def test_forward_sums_all_segmentations(model):
     assert all(abs(got[k, c] - slow(w, p[:, c], ids)) < 1e-9 for k, w in enumerate(WORDS) for c in range(2))
 
 
+LONG = [b" " + x for x in ("donaudampfschifffahrtsgesellschaft".encode(), "自然言語処理".encode() * 3, "ภาษาไทย".encode() * 90, "東京都".encode() * 222, b"internationalisation" * 30, b"x" * 513, b"a" * 512)]
+
+
+def test_words_of_any_length(model):
+    t, p, ids = model
+    assert t.longest > 10 and {len(x) for x in t.pieces} > set(range(1, 20))
+    got = word_scores(LONG, t, p)
+    want = np.array([[slow(w, p[:, c], ids) for c in range(2)] for w in LONG])
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-6) and want.min() < -2000
+
+
+def test_expected_counts_of_long_words(model):
+    t, p, _ = model
+    counts = expected(LONG, np.ones(len(LONG)), t, p[:, 0])
+    width = np.array([0, *map(len, t.pieces)])
+    assert abs((counts * width).sum() - sum(map(len, LONG))) < 1e-6
+
+
+def test_pieces_of_words():
+    assert [Pieces.wordlike(x) for x in (b" the", b"the", " été".encode(), b"\xe6\x97", b" ", b"  ", b"a1", b" 1", b"a b", b"!")] == [True] * 5 + [False] * 5
+
+
 def test_expected_counts_are_derivatives(model):
     t, p, ids = model
     counts = expected(WORDS, np.arange(1.0, 7.0), t, p[:, 0])
