@@ -6,27 +6,34 @@ in a short list of literals.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakframe.functions import checksums, maskers
 from cloakframe.functions.keys import Key, pseudonym, pseudonym_matches
-from cloakframe.operators.text import classify, mask_text, preserve_format, scan
+from cloakframe.operators.observe import counters, observed
+from cloakframe.operators.text import classify, mask_text, named, preserve_format, scan
+from cloakframe.operators.vault import Vault
 from cloakframe.plans.compiler import Engine, mask, serialise
 from cloakframe.plans.policy import STRICT, Overrides, Policy, metadata
 from cloakframe.plans.vocab import Declaration, Keep
-from cloakframe.ship import ship
+from cloakframe.ship import shared_folder, ship
 from cloakframe.sources import dberrors
 from cloakframe.sources.jsonio import mask_json
 from cloakframe.sources.logs import mask_events
-from cloakframe.sources.records import Settings, mask_records
+from cloakframe.sources.records import Settings, mask_records, split_failures
+from cloakframe.streaming.masking import write_masked
 
 Query = Callable[[SparkSession, str], DataFrame]
 PH = STRICT.placeholder
 #: Keys of the examples; a deployment gives its own.
-KEY, OLD_KEY = Key.of_secret("an example secret of the catalog"), Key.of_secret("the secret before the rotation")
+SECRET = "an example secret of the catalog"
+KEY, OLD_KEY = Key.of_secret(SECRET), Key.of_secret("the secret before the rotation")
 ENGINE = Engine(key=KEY)
 #: Masks whole texts, however long.
 WHOLE = Policy(max_text=1 << 30)
@@ -112,11 +119,20 @@ def s_name(x: str) -> str:
     return f"list_aggregate(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(substr({x}, i, 1), {letter}) AND regexp_matches(substr({x}, i - 1, 1), {letter}) THEN '*' ELSE substr({x}, i, 1) END), 'string_agg', '')"
 
 
-def s_hash(x: str, key: Key = KEY) -> str:
-    inner, outer = (f"unhex('{p.hex()}')" for p in key.pads())
+def s_key(secret: str) -> tuple[bytes, bytes, str]:
+    """Inner and outer pad and id of a secret's key, by HKDF as RFC 5869 has it, apart from functions.keys."""
+    mac = lambda key, data: hashlib.new("sha256", bytes(b ^ 0x5C for b in key.ljust(64, b"\0")) + hashlib.new("sha256", bytes(b ^ 0x36 for b in key.ljust(64, b"\0")) + data).digest()).digest()
+    key = mac(mac(b"cloakframe/mask-key", secret.encode()), b"pseudonymization/v1\x01")
+    name = base64.b64encode(mac(key, b"key-id/v1\x01")[:4]).decode().translate(str.maketrans("+/", "-_", "="))
+    return bytes(b ^ 0x36 for b in key.ljust(64, b"\0")), bytes(b ^ 0x5C for b in key.ljust(64, b"\0")), name
+
+
+def s_hash(x: str, secret: str = SECRET) -> str:
+    first, second, name = s_key(secret)
+    inner, outer = (f"unhex('{p.hex()}')" for p in (first, second))
     mac = f"unhex(sha256({outer} || unhex(sha256({inner} || encode({x})))))"
     head = f"unhex(substr(hex({mac}), 1, 24))"
-    return f"'~{key.id}:' || replace(replace(rtrim(to_base64({head}), '='), '+', '-'), '/', '_')"
+    return f"'~{name}:' || replace(replace(rtrim(to_base64({head}), '='), '+', '-'), '/', '_')"
 
 
 # ---- derived values: columns are made only once there is a session ----
@@ -264,18 +280,36 @@ def key_rotation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, true AS is_token FROM customer")
 def tokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    from cloakframe.operators.vault import Vault
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cloakframe-vault-')}"
-    vault = Vault(spark, f"{base.rstrip('/')}/vault-{uuid.uuid4().hex}")
+    vault = Vault(spark, shared_folder(spark, "vault"))
     masked = vault.tokenize(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "FULL_NAME")
     back = vault.detokenize(masked, "c_name", "value")
     return back.select("c_custkey", F.col("value").alias("c_name"), F.col("c_name").rlike("^tok_full_name_[A-Za-z0-9_-]{16}$").alias("is_token"))
 
 
+@query(f"SELECT c_custkey, c_name AS value, '{PH}' AS within, true AS is_token FROM customer")
+def mask_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOKENIZE in a plan: a column goes through the engine's vault, within a struct it fails closed."""
+    vault = Vault(spark, shared_folder(spark, "vault"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.struct(F.col("c_name").alias("x"), F.col("c_custkey").alias("y")).alias("s"))
+    token = Declaration("FULL_NAME", strategy="TOKENIZE")
+    out = mask(_meta(rows, c_name=token), Engine(key=KEY, vault=vault, overrides=Overrides(by_path={"s.x": token})))
+    back = vault.detokenize(out, "c_name", "value")
+    return back.select("c_custkey", "value", F.col("s.x").alias("within"), F.col("c_name").rlike("^tok_full_name_[A-Za-z0-9_-]{16}$").alias("is_token"))
+
+
+@query(
+    """SELECT 'masked' AS signal, 'email' AS path, count(*) AS n FROM customer UNION ALL SELECT 'unannotated', 'note', count(*) FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT 'failed', 'token', count(*) FROM customer UNION ALL SELECT 'masked', 'token', count(*) FROM customer UNION ALL SELECT 'text_truncated', 'note', count(*) FROM customer WHERE c_custkey % 5 = 0"""
+)
+def mask_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a run."""
+    note = F.concat(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("to "), _email())).otherwise(F.lit("nothing")), F.when(F.col("c_custkey") % 5 == 0, F.repeat(F.lit(" "), F.lit(200))).otherwise(F.lit("")))
+    rows = read(spark, sf_dir, "customer").select(_email().alias("email"), note.alias("note"), F.col("c_name").alias("token"))
+    out, seen = observed(_meta(rows, email=Declaration("EMAIL"), token=Declaration("FULL_NAME", strategy="TOKENIZE")), Engine(Policy(max_text=150), KEY))
+    out.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(counters(seen), "signal string, path string, n long")
+
+
 # ---- checksums and signals ----
 
 
@@ -326,12 +360,12 @@ def _found(table: str, key: str, column: str, name: str) -> str:
 
 @query(_found("documents", "doc_id", "text", "email"))
 def scan_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(read(spark, sf_dir, "documents"), "text", ["doc_id"]).filter("detector = 'email'").select("doc_id", "value")
+    return scan(read(spark, sf_dir, "documents"), "text", ["doc_id"], named("email")).select("doc_id", "value")
 
 
 @query(_found("documents", "doc_id", "text", "ipv4"))
 def scan_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(read(spark, sf_dir, "documents"), "text", ["doc_id"]).filter("detector = 'ipv4'").select("doc_id", "value")
+    return scan(read(spark, sf_dir, "documents"), "text", ["doc_id"], named("ipv4")).select("doc_id", "value")
 
 
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN substr(d, i, 1)::INT WHEN substr(d, i, 1)::INT > 4 THEN substr(d, i, 1)::INT * 2 - 9 ELSE substr(d, i, 1)::INT * 2 END)) % 10 = 0"
@@ -339,10 +373,82 @@ _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (l
 
 @query(f"SELECT doc_id, value FROM (SELECT doc_id, value, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9](?:[ \\-]?[0-9]){{11,18}}\\b')) AS value FROM documents WHERE text IS NOT NULL)) WHERE {_LUHN}")
 def scan_pan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(read(spark, sf_dir, "documents"), "text", ["doc_id"]).filter("detector = 'payment-card'").select("doc_id", "value")
+    return scan(read(spark, sf_dir, "documents"), "text", ["doc_id"], named("payment-card")).select("doc_id", "value")
+
+
+def _mod97(bban: str) -> str:
+    """SQL of the check digits of a Swiss IBAN with these 17 digits."""
+    return f"lpad((98 - ({bban} || '121700')::DECIMAL(38, 0) % 97)::INT::VARCHAR, 2, '0')"
+
+
+_BBAN, _K, _NAME = "lpad(c_custkey::VARCHAR, 17, '0')", "lpad(c_custkey::VARCHAR, 9, '0')", "md5(c_name)"
+_WEIGHTS = [1 if k % 2 == 0 else 3 for k in range(12)]
+_AHV_HEAD = f"('756' || {_K})"
+_AHV_SUM = " + ".join(f"substr({_AHV_HEAD}, {k + 1}, 1)::INT * {w}" for k, w in enumerate(_WEIGHTS))
+#: By detector, SQL that both engines read: what stands before a value, the value, and what follows.
+PLANTED = {
+    "private-key": ("'found '", f"'-----BEGIN PRIVATE KEY-----' || chr(10) || {_NAME} || chr(10) || '-----END PRIVATE KEY-----'", "' there'"),
+    "jwt": ("'cookie '", f"'eyJ' || {_NAME} || '.x' || {_NAME} || '.y' || {_NAME}", "' kept'"),
+    "bearer-token": ("'sent with bearer '", f"'t' || {_NAME}", "' by it'"),
+    "assigned-secret": ("'api_key = '", f"'s' || {_NAME}", "', ok'"),
+    "swiss-ahv": ("'insured '", f"{_AHV_HEAD} || ((10 - ({_AHV_SUM}) % 10) % 10)::INT::VARCHAR", "' now'"),
+    "iban": ("'to '", f"'CH' || {_mod97(_BBAN)} || {_BBAN}", "' today'"),
+    "email": ("'mail '", f"'u' || {_K} || '@example.org'", "'!'"),
+    "phone-e164": ("'call '", f"'+4179' || right({_K}, 7)", "' soon'"),
+    "ipv4": ("'from '", "'10.' || (c_custkey % 256)::VARCHAR || '.0.' || (c_custkey % 199)::VARCHAR", "' at noon'"),
+    "ipv6": ("'host '", f"'fe80::' || left({_NAME}, 4) || ':1'", "' down'"),
+    "bic": ("'bank '", "'CHASUS' || lpad((c_custkey % 100)::VARCHAR, 2, '0')", "' please'"),
+}
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT c_custkey, '{name}' AS detector, {value} AS value FROM customer" for name, (_, value, _) in PLANTED.items()))
+def scan_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value for each detector within a text: all are found, by that detector and as a whole."""
+    rows = read(spark, sf_dir, "customer")
+    texts = rows.select("c_custkey", F.explode(F.array(*[F.expr(" || ".join(_spark(x) for x in parts)) for parts in PLANTED.values()])).alias("text"))
+    return scan(texts, "text", ["c_custkey"]).select("c_custkey", "detector", "value")
+
+
+def _spark(sql: str) -> str:
+    """The same SQL with Spark's names of types."""
+    return sql.replace("VARCHAR", "STRING")
+
+
+#: What the documents hold: pattern and category of each kind, in the order in which they are replaced.
+S_CARD = r"\b[0-9](?:[ \-]?[0-9]){11,18}\b"
+S_NUMBER = r"\+[1-9][0-9]{0,2}[ .\-]?(?:\(?[0-9]{1,4}\)?[ .\-]?){1,4}[0-9]{2,4}"
+S_KINDS = {"email": (S_FOUND["email"], "EMAIL"), "payment-card": (S_CARD, "PAN"), "phone-e164": (S_NUMBER, "PHONE"), "ipv4": (S_FOUND["ipv4"], "IP_ADDRESS")}
+
+
+def s_luhn(x: str) -> str:
+    d = s_digits(x)
+    each = f"CASE WHEN (length({d}) - i) % 2 = 0 THEN substr({d}, i, 1)::INT WHEN substr({d}, i, 1)::INT > 4 THEN substr({d}, i, 1)::INT * 2 - 9 ELSE substr({d}, i, 1)::INT * 2 END"
+    return f"list_sum(list_transform(range(1, length({d}) + 1), lambda i: {each})) % 10 = 0"
+
+
+def s_replaced(x: str, pattern: str, masked: str) -> str:
+    """The text with each match replaced by an expression of it, m."""
+    parts = f"regexp_split_to_array({x}, '{pattern}')"
+    found = f"list_transform(regexp_extract_all({x}, '{pattern}'), lambda m: {masked})"
+    return f"CASE WHEN regexp_matches({x}, '{pattern}') THEN list_aggregate(list_transform(list_zip({parts}, {found}), lambda z: z[1] || coalesce(z[2], '')), 'string_agg', '') ELSE {x} END"
+
+
+def _row_masked() -> str:
+    """All kinds, one after the other, each a column of a query around the one before."""
+    masks = {"email": s_email("m"), "payment-card": f"CASE WHEN {s_luhn('m')} THEN {s_pan('m')} ELSE m END", "phone-e164": s_phone("m"), "ipv4": r"regexp_replace(m, '\.[0-9]+$', '.0')"}
+    sql = "SELECT doc_id, text FROM documents"
+    for name, masked in masks.items():
+        sql = f"SELECT doc_id, {s_replaced('text', S_KINDS[name][0], masked)} AS text FROM ({sql})"
+    return sql
+
+
+S_MASKED = _row_masked()
+S_ROLLUP = f"""SELECT category, detector, lang, count(*) AS findings FROM ({" UNION ALL ".join(
+    f"SELECT '{category}' AS category, '{name}' AS detector, lang FROM (SELECT lang, unnest(regexp_extract_all(text, '{pattern}')) AS m FROM documents WHERE text IS NOT NULL)" + (f" WHERE {s_luhn('m')}" if category == "PAN" else "")
+    for name, (pattern, category) in S_KINDS.items())}) GROUP BY ROLLUP (category, detector, lang)"""
+
+
+@query(S_ROLLUP)
 def findings_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return scan(docs, "text", ["source", "lang"]).rollup("category", "detector", "lang").agg(F.count("*").alias("findings"))
@@ -353,7 +459,7 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "pages"), "html", ["page_id"])
 
 
-@query()
+@query(S_MASKED)
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", mask_text(F.col("text"), WHOLE, KEY).alias("text"))
 
@@ -364,10 +470,14 @@ def mask_documents_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", mask_text(F.col("text"), STRICT, KEY).alias("text"))
 
 
-@query("SELECT conv_id, turn, text FROM conversations")
+S_REPLY = "('reply.' || conv_id || '@mail.example')"
+
+
+@query(f"SELECT conv_id, turn, coalesce(text, '') || ' write to ' || {s_email(S_REPLY)} || '!' AS text FROM conversations")
 def mask_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nothing is found in these, so all texts come back as they are."""
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", mask_text(F.col("text"), STRICT, KEY).alias("text"))
+    """An address at the end of every turn; nothing else is found in these."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" write to reply."), F.col("conv_id").cast("string"), F.lit("@mail.example!"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", mask_text(text, WHOLE, KEY).alias("text"))
 
 
 @query("SELECT doc_id, 0::BIGINT AS left_over FROM documents WHERE false")
@@ -391,11 +501,17 @@ def mask_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask(_meta(rows, email=Declaration(), segment=Declaration()), ENGINE)
 
 
-@query("SELECT c_custkey, regexp_replace(regexp_replace(c_name, '[0-9]', 'd', 'g'), '[A-Z]', 'U', 'g') <> '' AS same_shape FROM customer")
+def s_shape(x: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({x}, '[0-9]', '9', 'g'), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g')"
+
+
+@query(f"SELECT c_custkey, {s_shape('c_name')} AS shape, true AS changed, true AS same_again FROM customer")
 def mask_preserve_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "d"), "[A-Z]", "U"), "[a-ce-z]", "l")
-    rows = read(spark, sf_dir, "customer").withColumn("masked", preserve_format(F.col("c_name"), KEY))
-    return rows.select("c_custkey", (F.regexp_replace(shape(F.col("masked")), "l|d", "x") == F.regexp_replace(shape(F.col("c_name")), "l|d", "x")).alias("same_shape"))
+    """Digits, capitals and small letters stay what they are, no name stays, and equal names are masked alike."""
+    masked, again = (preserve_format(F.col("c_name"), KEY) for _ in range(2))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("masked", "[0-9]", "9"), "[A-Z]", "A"), "[a-z]", "a")
+    rows = read(spark, sf_dir, "customer").withColumn("masked", masked).withColumn("again", again)
+    return rows.select("c_custkey", shape.alias("shape"), (F.col("masked") != F.col("c_name")).alias("changed"), (F.col("masked") == F.col("again")).alias("same_again"))
 
 
 # ---- nested values ----
@@ -455,59 +571,83 @@ def json_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.get_json_object("json", "$.c_custkey").cast("long").alias("c_custkey"), "json")
 
 
-@query("SELECT event_id, replace(props, ' ', '') AS props FROM events")
-def json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.regexp_replace(mask_json(F.col("props"), STRICT, KEY), " ", "").alias("props"))
+S_BY = "('by.' || event_id || '@example.net')"
 
 
-_ERRORS = [
-    ("23505", "duplicate key value violates unique constraint \"customer_email_key\"", "Key (email)=(x) already exists."),
-    ("23502", "null value in column \"name\"", "Failing row contains (1, secret, null)."),
-    ("23000", "Duplicate entry 'Mustermann9910' for key 'customer.customer_email_key'", None),
-    ("42601", "syntax error at or near \"slect\"", None),
-    ("22001", "value too long: 'abc def'", "Key (a, b)=(1, (2)) is not present."),
-    (None, "connection lost", ""),
+@query(f"""SELECT event_id, '{{"n": 1.10, "big": 12345678901234567890.5, ' || substr(props, 2, length(props) - 2) || ', "at": ["' || {s_email(S_BY)} || '"], "' || {s_email(S_BY)} || '": null}}' AS props FROM events""")
+def json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address in an array and as a property's name; numbers and all else stay as they are written."""
+    by = F.concat(F.lit("by."), F.col("event_id").cast("string"), F.lit("@example.net"))
+    inner = F.expr("substr(props, 2, length(props) - 2)")
+    text = F.concat(F.lit('{"n": 1.10, "big": 12345678901234567890.5, '), inner, F.lit(', "at": ["'), by, F.lit('"], "'), by, F.lit('": null}'))
+    return read(spark, sf_dir, "events").select("event_id", mask_json(text, STRICT, KEY).alias("props"))
+
+
+#: By the key's remainder: SQLSTATE, message and detail, as SQL that both engines read.
+_NAMED = "(c_name || ' of ' || c_custkey::VARCHAR)"
+_Q = "chr(39)"
+ERRORS = [
+    ("'23505'", "'duplicate key value violates unique constraint \"customer_email_key\"'", f"'Key (email)=(' || {S_EMAIL} || ') already exists.'"),
+    ("'23502'", "'null value in column \"name\"'", f"'Failing row contains (1, ' || {_NAMED} || ', null).'"),
+    ("'23000'", f"'Duplicate entry ' || {_Q} || {_NAMED} || {_Q} || ' for key ' || {_Q} || 'orders.orders_name_key' || {_Q}", "CAST(NULL AS VARCHAR)"),
+    ("'42601'", f"'syntax error at or near ' || {_Q} || {S_EMAIL} || {_Q}", "CAST(NULL AS VARCHAR)"),
+    ("'22001'", f"'value too long: ' || {_Q} || {_NAMED} || {_Q}", "'Key (a, b)=(1, (' || c_custkey::VARCHAR || ')) is not present.'"),
+    ("CAST(NULL AS VARCHAR)", f"'connection lost by ' || {S_EMAIL}", "''"),
 ]
+_PICKED = [f"CASE c_custkey % 6 {' '.join(f'WHEN {k} THEN {row[n]}' for k, row in enumerate(ERRORS))} END" for n in range(3)]
+_VALUES = f"(SELECT c_custkey, c_name, c_mktsegment, {_PICKED[0]} AS sqlstate, {_PICKED[1]} AS message, {_PICKED[2]} AS detail FROM customer)"
+S_KEYS = f"regexp_replace(detail, '\\)=\\(.*\\)', ')=({PH})', 'gs')"
+S_DETAIL = f"CASE WHEN detail = '' THEN detail WHEN contains(detail, ')=(') THEN {S_KEYS} END"
+S_CLASS = "CASE substr(sqlstate, 1, 2) WHEN '23' THEN 'IntegrityConstraintViolation' WHEN '22' THEN 'Data' WHEN '42' THEN 'SyntaxError' ELSE 'Generic' END"
+S_MESSAGE = f"""CASE c_custkey % 6 WHEN 2 THEN 'Duplicate entry ''{PH}'' for key ''orders.orders_name_key''' WHEN 3 THEN 'syntax error at or near ''' || {s_email(S_EMAIL)} || ''''
+    WHEN 4 THEN 'value too long: ''{PH}''' WHEN 5 THEN 'connection lost by ' || {s_email(S_EMAIL)} ELSE message END"""
 
 
-def _literal(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = [F.expr(_spark(c)).alias(n) for c, n in zip(_PICKED, ("sqlstate", "message", "detail"), strict=True)]
+    return read(spark, sf_dir, "customer").select("c_custkey", *picked)
 
 
-_VALUES = "(VALUES " + ", ".join(f"({_literal(a)}, {_literal(b)}, {_literal(c)})" for a, b, c in _ERRORS) + ") t(sqlstate, message, detail)"
-
-
-def _errors(spark: SparkSession) -> DataFrame:
-    ship(spark)
-    return spark.createDataFrame(_ERRORS, "sqlstate string, message string, detail string")
-
-
-@query(f"SELECT sqlstate, regexp_replace(detail, '\\)=\\(.*\\)', ')=({PH})', 'gs') AS detail FROM {_VALUES}")
+@query(f"SELECT c_custkey, sqlstate, {S_KEYS} AS detail FROM {_VALUES}")
 def dberror_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _errors(spark).select("sqlstate", dberrors.key_values(F.col("detail")).alias("detail"))
+    return _errors(spark, sf_dir).select("c_custkey", "sqlstate", dberrors.key_values(F.col("detail")).alias("detail"))
 
 
-@query(f"SELECT sqlstate, CASE WHEN detail = '' THEN detail WHEN contains(detail, ')=(') THEN regexp_replace(detail, '\\)=\\(.*\\)', ')=({PH})', 'gs') END AS detail FROM {_VALUES}")
+@query(f"SELECT c_custkey, sqlstate, {S_DETAIL} AS detail FROM {_VALUES}")
 def dberror_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _errors(spark).select("sqlstate", dberrors.detail(F.col("detail")).alias("detail"))
+    return _errors(spark, sf_dir).select("c_custkey", "sqlstate", dberrors.detail(F.col("detail")).alias("detail"))
 
 
-@query(f"SELECT sqlstate, CASE substr(sqlstate, 1, 2) {' '.join(f'WHEN {_literal(k)} THEN {_literal(v)}' for k, v in dberrors.CLASSES.items())} ELSE 'Generic' END AS error_class FROM {_VALUES}")
+@query(f"SELECT c_custkey, sqlstate, {S_CLASS} AS error_class FROM {_VALUES}")
 def dberror_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _errors(spark).select("sqlstate", dberrors.error_class(F.col("sqlstate")).alias("error_class"))
+    return _errors(spark, sf_dir).select("c_custkey", "sqlstate", dberrors.error_class(F.col("sqlstate")).alias("error_class"))
 
 
-@query()
+@query(
+    f"""SELECT c_custkey, 'ERROR' AS severity, sqlstate, 'public' AS schema, 'customer' AS "table", CAST(NULL AS VARCHAR) AS "column", CAST(NULL AS VARCHAR) AS "constraint", {S_MESSAGE} AS message, {S_DETAIL} AS detail,
+    'ask ' || {s_email(S_EMAIL)} AS hint, 'COPY t, line 1: "{PH}"' AS "where", CAST(NULL AS VARCHAR) AS internal_query, {S_CLASS} AS error_class FROM {_VALUES}"""
+)
 def dberror_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blank = ["severity", "schema", "table", "column", "constraint", "hint", "where"]
-    rows = _errors(spark).select("*", *[F.lit(None).cast("string").alias(n) for n in blank])
-    return rows.select(*dberrors.sanitized(STRICT, KEY))
+    """Whole errors: texts masked as their SQLSTATE asks, names and codes kept."""
+    rows = _errors(spark, sf_dir).join(read(spark, sf_dir, "customer"), "c_custkey")
+    none = F.lit(None).cast("string")
+    parts = {"severity": F.lit("ERROR"), "schema": F.lit("public"), "table": F.lit("customer"), "column": none, "constraint": none, "hint": F.concat(F.lit("ask "), _email()), "where": F.concat(F.lit('COPY t, line 1: "'), F.col("c_name"), F.lit('"'))}
+    return rows.select("c_custkey", "sqlstate", "message", "detail", *[c.alias(n) for n, c in parts.items()]).select("c_custkey", *dberrors.sanitized(STRICT, KEY))
 
 
-@query("SELECT o_orderkey, CASE WHEN i < 16 THEN 'cause ' || i ELSE '****' END AS message FROM orders, range(18) r(i)")
+@query(
+    f"""SELECT c_custkey, i::INT AS link, CASE WHEN i >= 16 THEN '{PH}' WHEN i % 4 = 0 THEN 'for ' || {s_email(S_EMAIL)} WHEN i % 4 = 1 THEN 'Key (n)=({PH}) exists'
+    WHEN i % 4 = 2 THEN 'entry ''{PH}''' ELSE 'near ''' || c_name || '''' END AS message FROM customer, range(18) r(i)"""
+)
 def dberror_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    causes = F.transform(F.sequence(F.lit(0), F.lit(17)), lambda i: F.concat(F.lit("cause "), i.cast("string")))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.explode(dberrors.chain(causes)).alias("message"))
+    """Causes with addresses, key values and quoted values; what is beyond the longest chain isn't looked at."""
+    quoted = lambda head: F.concat(F.lit(f"{head} '"), F.col("c_name"), F.lit("'"))
+    kinds = [F.concat(F.lit("for "), _email()), F.concat(F.lit("Key (n)=("), F.col("c_name"), F.lit(") exists")), quoted("entry"), quoted("near")]
+    states = [None, "23505", "23000", "42601"]
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.array(*[kinds[i % 4] for i in range(18)]).alias("m"), F.array(*[F.lit(states[i % 4]).cast("string") for i in range(18)]).alias("s"))
+    masked = rows.select("c_custkey", dberrors.chain(F.col("m"), STRICT, KEY, F.col("s")).alias("messages"))
+    links = masked.select("c_custkey", "messages", F.explode(F.sequence(F.lit(0), F.lit(17))).alias("link"))
+    return links.select("c_custkey", "link", F.get("messages", F.col("link")).alias("message"))
 
 
 @query(f"SELECT c_custkey, {s_email(S_EMAIL)} AS of_email, '{PH}' AS of_text, '<double>' AS of_number FROM customer")
@@ -532,8 +672,41 @@ def records_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(text(F.col("key")).cast("long").alias("c_custkey"), text(F.col("value")).alias("value"), text(F.col("headers")[1]["value"]).alias("header"), text(F.col("headers")[0]["value"]).alias("token"))
 
 
-@query("SELECT event_id, event_type FROM events")
+_SENT = [("email", Declaration("EMAIL")), ("who", [("name", Declaration("FULL_NAME"))])]
+
+
+def _schema(parts: list) -> T.StructType:
+    """A schema of texts and of such schemas, with declarations."""
+    fields = [T.StructField(n, _schema(d)) if isinstance(d, list) else T.StructField(n, T.StringType(), True, metadata(d)) for n, d in parts]
+    return T.StructType(fields)
+
+
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON messages with declared and undeclared properties; every fifth breaks off."""
+    text = F.concat(F.lit('{"email":"'), _email(), F.lit('","who":{"name":"'), "c_name", F.lit('","n":1.10},"note":"to '), _email(), F.lit('","none":null}'))
+    broken = F.when(F.col("c_custkey") % 5 == 0, F.substring(text, 1, 30)).otherwise(text)
+    return read(spark, sf_dir, "customer").select("c_custkey", broken.cast("binary").alias("value"))
+
+
+@query(f"""SELECT c_custkey, '{{"email":"' || {s_email(S_EMAIL)} || '","who":{{"name":"' || {s_name('c_name')} || '","n":1.10}},"note":"to ' || {s_email(S_EMAIL)} || '","none":null}}' AS value FROM customer WHERE c_custkey % 5 <> 0""")
+def records_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared properties are masked, the others scanned and kept; broken messages don't go on."""
+    return mask_records(_sent(spark, sf_dir), ENGINE, value_schema=_schema(_SENT)).select("c_custkey", F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0")
+def records_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages that can't be masked, without their values."""
+    return split_failures(mask_records(_sent(spark, sf_dir), ENGINE, value_schema=_schema(_SENT), failed="failed"))[1]
+
+
+@query("SELECT event_id, event_type || ' from 10.' || (user_id % 256)::VARCHAR || '.' || (event_id % 256)::VARCHAR || '.0' AS value FROM events")
 def stream_mask_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream's plan over a batch of its records."""
-    rows = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").cast("binary").alias("key"), F.col("event_type").cast("binary").alias("value"), F.lit("events").alias("topic"))
-    return mask_records(rows, ENGINE).select(F.col("key").cast("string").cast("long").alias("event_id"), F.col("value").cast("string").alias("event_type"))
+    """A stream of records, masked batch by batch into files, and read back."""
+    base = shared_folder(spark, "stream")
+    records = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").cast("binary").alias("key"), F.concat("event_type", F.lit(" from "), _ip()).cast("binary").alias("value"))
+    records.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(records.schema).parquet(f"{base}/in")
+    write_masked(stream, ENGINE, f"{base}/out", f"{base}/withheld", f"{base}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(F.col("key").cast("string").cast("long").alias("event_id"), F.col("value").cast("string").alias("value"))

@@ -53,21 +53,3 @@ def signals(c: Column) -> Column:
         F.length(F.regexp_replace(c, "[^A-Z]", "")).alias("upper"),
         c.rlike("[A-Z]{6}").alias("upper_run"),
     )
-
-
-def gate(c: Column) -> Column:
-    """Whether any built-in detector can match: a necessary condition that needs no Python.
-
-    Every detector needs '@', ':' or '=', a PEM dash with BEGIN, four digits, six upper-case letters
-    in a row, or bearer/basic before a token.
-    """
-    return (
-        c.contains("@")
-        | c.contains(":")
-        | c.contains("=")
-        | c.contains("BEGIN")
-        | c.contains("eyJ")
-        | c.rlike(r"(?s)[0-9].*[0-9].*[0-9].*[0-9]")
-        | c.rlike(r"[A-Z]{6}")
-        | c.rlike(r"(?i)(bearer|basic)\s")
-    )

@@ -1,22 +1,50 @@
-"""Signals of a run: counters that ride along with it, and what was found as a relation."""
+"""Signals of a run: counters that ride along with it, and what was found as a relation.
+
+A masked DataFrame can be observed: `mask(df, engine, seen=Observation())`. Its counters are named
+`signal|path`, besides `rows`:
+
+* masked: declared values; scanned: texts declared for scanning that held something
+* unannotated: undeclared texts that held something, the one to alert on
+* failed: values whose strategy can't be applied there, as TOKENIZE without a vault
+* depth_exceeded, collection_truncated, text_truncated: values that met a limit
+"""
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cloakframe.operators.text import scan
-from cloakframe.plans.compiler import Engine, Plan
+from cloakframe.plans.compiler import Engine, Plan, mask
 
-METRICS = ("masked", "unannotated", "truncated")
+SIGNALS = ("masked", "scanned", "unannotated", "failed", "depth_exceeded", "collection_truncated", "text_truncated")
+#: Gets a signal, a path, and how often.
+Sink = Callable[[str, str, int], None]
+LOG = logging.getLogger(__name__)
 
 
-def observed(df: DataFrame, masked: DataFrame, column: str, max_text: int = 8192, name: str = "masking") -> tuple[DataFrame, Observation]:
-    """masked with an observation of how many values of the column changed and were cut."""
+def observed(df: DataFrame, engine: Engine, name: str = "masking") -> tuple[DataFrame, Observation]:
+    """df masked, and the observation that has its counters once it has run."""
     seen = Observation(name)
-    out = masked.withColumn("__cut", F.length(F.col(column)) > max_text)
-    out = out.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("__cut")).alias("truncated"), F.count_if(F.col(column).contains("****")).alias("masked")).drop("__cut")
-    return out, seen
+    return mask(df, engine, seen=seen), seen
+
+
+def counters(seen: Observation) -> list[tuple[str, str, int]]:
+    """(signal, path, how often) of a run, without those that never happened. Waits for the run."""
+    return [(*k.split("|", 1), n) for k, n in sorted(seen.get.items()) if "|" in k and n]
+
+
+def report(seen: Observation, *sinks: Sink) -> None:
+    """Gives a run's counters to all sinks. One that fails is logged and keeps none of the others from them."""
+    for signal, path, n in counters(seen):
+        for sink in sinks:
+            try:
+                sink(signal, path, n)
+            except Exception:  # noqa: BLE001
+                LOG.exception("a sink failed on %s at %s", signal, path)
 
 
 def decided(df: DataFrame, engine: Engine) -> list[tuple[str, str]]:

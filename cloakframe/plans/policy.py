@@ -47,6 +47,10 @@ class MissingSecret(ValueError):
     """No secret was given and an ephemeral key wasn't asked for."""
 
 
+class MaskingFailed(RuntimeError):
+    """A value could not be masked, and the policy's failure mode is THROW. No message holds a value."""
+
+
 def from_conf(spark) -> Policy:  # noqa: ANN001
     """The policy that spark.conf names: a preset, and settings that replace single fields of it."""
     get = lambda name: spark.conf.get(PREFIX + name, None)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -11,6 +13,19 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that isn't set it's a temporary one if all runs in this process; on a cluster that's an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='cloakframe-')}"
+    return f"{base.rstrip('/')}/cloakframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers, once for each application."""
     app = spark.sparkContext.applicationId

@@ -1,19 +1,25 @@
-"""JSON text: every string at any depth is scanned, and property names if asked for."""
+"""JSON text: every string at any depth is scanned, and property names if asked for.
+
+Only the strings of a text that holds a finding are written anew; numbers, blanks, repeated
+properties and everything else stay as they stand.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from cloakframe.functions import pure
-from cloakframe.functions.checksums import gate
+from cloakframe.functions.gates import gate
 from cloakframe.functions.keys import Key
-from cloakframe.plans.policy import STRICT, Policy
+from cloakframe.operators.text import Chosen, text_udf
+from cloakframe.plans.policy import STRICT, MaskingFailed, Policy
+
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?', re.DOTALL)
 
 
 def masks_names(policy: Policy) -> bool:
@@ -21,32 +27,43 @@ def masks_names(policy: Policy) -> bool:
     return policy.mask_keys or policy.scan_text
 
 
-def _walk(x, names: bool, f):  # noqa: ANN001, ANN202
-    if isinstance(x, str):
-        return f(x)
-    if isinstance(x, list):
-        return [_walk(y, names, f) for y in x]
-    if isinstance(x, dict):
-        return {(f(k) if names else k): _walk(v, names, f) for k, v in x.items()}
-    return x
+def masked_strings(text: str, names: bool, f: Callable[[str], str]) -> str:
+    """The JSON text with f applied to its strings. ValueError if it isn't JSON."""
+    json.loads(text)
 
+    def one(m: re.Match) -> str:
+        name = m[1] or ""
+        if name and not names:
+            return m[0]
+        raw = m[0][: len(m[0]) - len(name)]
+        value = json.loads(raw, strict=False)
+        new = f(value)
+        return m[0] if new == value else json.dumps(new, ensure_ascii=False) + name
+
+    return _STRING.sub(one, text)
 
-def mask_json(c: Column, policy: Policy = STRICT, key: Key | None = None) -> Column:
-    """JSON text with its strings masked; text that isn't JSON, or can't be masked, shows the placeholder."""
-    ph, cap, names = policy.placeholder, policy.max_text, masks_names(policy)
 
-    @F.pandas_udf(StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text: str) -> str:
-            try:
-                return json.dumps(_walk(json.loads(text), names, lambda t: pure.sanitize(t, ph, key, cap)[0]), ensure_ascii=False, separators=(",", ":"))
-            except Exception:  # noqa: BLE001  fails closed
-                return json.dumps(ph)
+def masker(policy: Policy, key: Key | None, detectors: Chosen) -> Callable[[str], str]:
+    """Masks a JSON text; what isn't JSON, or can't be masked, shows the placeholder or raises without the value."""
+    names = masks_names(policy)
 
-        for s in batches:
-            yield s.map(one, na_action="ignore")
+    def run(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return masked_strings(text, names, lambda t: pure.sanitize(t, policy.placeholder, key, policy.max_text, detectors)[0])
+        except Exception:  # noqa: BLE001  fails closed: no message or cause may hold the value
+            if policy.failure != "THROW":
+                return json.dumps(policy.placeholder)
+        raise MaskingFailed("a JSON text could not be masked")
 
+    return run
+
+
+def mask_json(c: Column, policy: Policy = STRICT, key: Key | None = None, detectors: Chosen | None = None) -> Column:
+    """JSON text with its strings masked; text that isn't JSON, or can't be masked, shows the placeholder."""
+    chosen = detectors or pure.DETECTORS
     # Property syntax always has a colon, so the gate looks at what else there is; escapes go too.
     bare = F.regexp_replace(c, r'"\s*:', '"')
-    ask = gate(bare) | c.contains("\\u") | (F.length(c) > cap) | F.try_parse_json(c).isNull()
-    return F.coalesce(run(F.when(ask, c)), c)
+    ask = gate(bare, chosen) | c.contains("\\") | (F.length(c) > policy.max_text) | F.try_parse_json(c).isNull()
+    return F.coalesce(text_udf(masker(policy, key, chosen))(F.when(ask, c)), c)

@@ -40,7 +40,7 @@ def fill(template: str, args: list[str | None]) -> str:
 def formatted(template: Column, args: Column, engine: Engine) -> Column:
     """The message as it's written: masked template, masked arguments, and the whole scanned again,
     as a value may come about only where both meet."""
-    policy, key, detectors = engine.policy, engine.key, engine.detectors or pure.DETECTORS
+    policy, key, detectors = engine.policy, engine.key, engine.chosen()
 
     @F.pandas_udf(StringType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -11,22 +11,43 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cloakframe.plans.compiler import Engine
+from cloakframe.sources.logs import mask_events
 from cloakframe.sources.records import Settings, mask_records, split_failures
 
 
-def mask_stream(stream: DataFrame, engine: Engine, settings: Settings = Settings(), value_schema: T.StructType | None = None) -> DataFrame:
-    """Masked records of a stream; their place in it stays."""
+def mask_stream(stream: DataFrame, engine: Engine | None = None, settings: Settings = Settings(), value_schema: T.StructType | None = None) -> DataFrame:
+    """Masked records of a stream; their place in it stays, and those that can't be masked are withheld."""
     return mask_records(stream, engine, settings, value_schema)
 
 
+def _put(df: DataFrame, number: int, path: str) -> None:
+    """Writes a batch below its number: a batch that runs again replaces what it wrote."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+
 def write_masked(stream: DataFrame, engine: Engine, sink: str, withheld: str, checkpoint: str, settings: Settings = Settings(), value_schema: T.StructType | None = None, **options: str):  # noqa: ANN201
-    """Starts a query that writes masked records, and what couldn't be masked (without the value) aside."""
+    """Starts a query that writes masked records, and what couldn't be masked (without the value) aside.
+
+    Each batch is masked once, and lies below its number in both places.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        marked = mask_records(df, engine, settings, value_schema, failed="failed").persist()
+        try:
+            good, bad = split_failures(marked)
+            _put(good, number, sink)
+            _put(bad, number, withheld)
+        finally:
+            marked.unpersist()
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()
+
+
+def write_events(stream: DataFrame, engine: Engine, sink: str, checkpoint: str, **options: str):  # noqa: ANN201
+    """Starts a query that writes masked log events: what an appender between a logger and its file does."""
 
     def batch(df: DataFrame, number: int) -> None:
-        marked = df.withColumn("__had_value", F.col("value").isNotNull())
-        good, failed = split_failures(mask_records(marked, engine, settings, value_schema))
-        good.write.mode("append").parquet(sink)
-        failed.withColumn("batch", F.lit(number)).write.mode("append").parquet(withheld)
+        _put(mask_events(df, engine), number, sink)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()
 

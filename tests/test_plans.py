@@ -1,18 +1,20 @@
 import json
+import time
 from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloakframe.functions import pure
 from cloakframe.functions.keys import Key
-from cloakframe.operators.observe import decided, findings_by, observed
-from cloakframe.operators.text import mask_text
+from cloakframe.operators.observe import counters, decided, findings_by, observed, report
 from cloakframe.operators.vault import Vault
-from cloakframe.plans.compiler import Engine, mask, serialise
+from cloakframe.plans.compiler import Engine, from_settings, installed, mask, serialise
 from cloakframe.plans.lint import lint
-from cloakframe.plans.policy import RELAXED, STRICT, Overrides, Policy, from_conf, metadata
+from cloakframe.plans.policy import RELAXED, STRICT, MaskingFailed, MissingSecret, Overrides, Policy, from_conf, metadata
 from cloakframe.plans.vocab import Declaration, Drop, Keep
 from cloakframe.ship import ship
 
@@ -146,15 +148,87 @@ def test_vault(spark, tmp_path):
     assert {r.k: r.v for r in again.collect()} == first
     assert {r.k: r.value for r in vault.detokenize(again, "v").collect()} == {1: "a", 2: "b", 3: "a", 4: None}
     assert vault.detokenize(spark.createDataFrame([("tok_x",)], "t string"), "t").first().value is None
-    assert vault.evict(1).count() == 1
-    late = Vault(spark, f"file://{tmp_path}/short", ttl_seconds=0)
-    assert {r.v for r in late.tokenize(rows, "v").collect()} == {None}
+    assert Vault(spark, vault.path).tokenize(rows, "v", "EMAIL").filter("k = 2").first().v == first[2]
+    with pytest.raises(ValueError):
+        Vault(spark, vault.path, ttl_seconds=0)
+
+
+def test_vault_forgets(spark, tmp_path):
+    rows = spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "v string")
+    on_disk = lambda path: b"".join(f.read_bytes() for f in path.rglob("*.parquet"))
+    short = Vault(spark, f"file://{tmp_path}/short", ttl_seconds=1)
+    made = [r.v for r in short.tokenize(rows, "v").collect()]
+    assert all(made) and b"alpha" in on_disk(tmp_path / "short")
+    time.sleep(1.2)
+    back = spark.createDataFrame([(t,) for t in made], "t string")
+    assert {r.value for r in short.detokenize(back, "t").collect()} == {None}
+    assert short.evict() == 0 and b"alpha" not in on_disk(tmp_path / "short")
+    small = Vault(spark, f"file://{tmp_path}/small", capacity=2)
+    made = [r.v for r in small.tokenize(rows, "v").collect()]
+    back = spark.createDataFrame([(t,) for t in made], "t string")
+    assert all(made) and len([r for r in small.detokenize(back, "t").collect() if r.value]) == 2
+    assert small.evict() == 2 and small.live().count() == 2
+
+
+def test_tokens_in_a_plan(spark, tmp_path):
+    s = T.StringType()
+    schema = T.StructType([field("mail", s, Declaration("EMAIL", strategy="TOKENIZE")), field("in", T.StructType([field("x", s, Declaration("EMAIL", strategy="TOKENIZE"))]))])
+    df = spark.createDataFrame([(MAIL, (MAIL,)), (None, None), (MAIL, ("b@c.de",))], schema)
+    vault = Vault(spark, f"file://{tmp_path}/plan")
+    out = mask(df, Engine(key=KEY, vault=vault))
+    assert out.dtypes == df.dtypes
+    back = vault.detokenize(out, "mail").collect()
+    assert sorted((r.value or "", r["in"].x if r["in"] else "") for r in back) == [("", ""), (MAIL, "****"), (MAIL, "****")]
+    assert all(r.mail is None or r.mail.startswith("tok_email_") for r in back)
+    seen = Observation("tokens")
+    assert {r.mail for r in mask(df, ENGINE, seen=seen).collect()} == {"****", None}
+    assert set(counters(seen)) == {("failed", "mail", 2), ("failed", "in.x", 2), ("masked", "mail", 2), ("masked", "in.x", 2)}
+    with pytest.raises(MaskingFailed, match="^mail: TOKENIZE can't be applied: no vault$"):
+        mask(df, Engine(Policy(failure="THROW"), KEY))
+
+
+def test_engines(spark, tmp_path):
+    get = lambda **conf: _with_conf(spark, conf, lambda: from_settings(spark))
+    with pytest.raises(MissingSecret):
+        get()
+    assert get(secret="sixteen bytes or more").key == Key.of_secret("sixteen bytes or more")
+    (tmp_path / "s").write_text("sixteen bytes or more\n")
+    assert get(**{"secret-file": str(tmp_path / "s"), "salt": "pepper"}).key == Key.of_secret("sixteen bytes or more", b"pepper")
+    one, two = get(**{"ephemeral-key": "true"}), Engine.with_defaults()
+    assert one.key.ephemeral and two.key.ephemeral and one.key != two.key and two.policy == STRICT
+    assert one.install() is installed() and two.install() is installed()
+    own = pure.detector("own", "EMAIL", "x")
+    assert one.detector(own).chosen() == (*pure.DETECTORS, own) and one.detector_first(own).chosen() == (own, *pure.DETECTORS)
+    assert one.detector(own).detector_first(own).chosen() == (own, *pure.DETECTORS, own)
+
+
+def _with_conf(spark, conf, run):
+    for k, v in conf.items():
+        spark.conf.set(f"spark.cloakframe.{k}", v)
+    try:
+        return run()
+    finally:
+        for k in conf:
+            spark.conf.unset(f"spark.cloakframe.{k}")
 
 
 def test_observed(spark):
     ship(spark)
-    df = spark.createDataFrame([(1, f"to {MAIL}"), (2, "plain"), (3, "card 4111111111111111"), (4, "x" * 9000)], "k int, t string")
-    out, seen = observed(df, df.withColumn("t", mask_text(F.col("t"), STRICT, KEY)), "t")
-    assert out.columns == ["k", "t"] and out.count() == 4
-    assert seen.get["rows"] == 4
+    s = T.StringType()
+    schema = T.StructType([field("mail", s, Declaration("EMAIL")), field("note", s, Declaration("FREEFORM_TEXT")), field("t", s), field("deep", T.ArrayType(T.ArrayType(s))), field("far", T.StructType([field("a", T.StructType([field("b", s)]))]))])
+    rows = [(MAIL, f"of {MAIL}", "**** is no finding", [[MAIL, "x"], [f"{MAIL} {MAIL}"]], (("x",),)), (None, None, "x" * 90, [["a"], ["b"], ["c"]], None), ("no mail", "none", "card 4111111111111111", None, None)]
+    out, seen = observed(spark.createDataFrame(rows, schema), Engine(Policy(max_text=80, max_elements=2, max_depth=2, placeholder="[gone]"), KEY))
+    got = out.collect()
+    assert seen.get["rows"] == 3 and len(got) == 3 and got[0].t == "**** is no finding"
+    told = counters(seen)
+    assert {x for x in told if x[0] != "depth_exceeded"} == {("masked", "mail", 2), ("masked", "note", 2), ("scanned", "note", 1), ("unannotated", "t", 1), ("text_truncated", "t", 1), ("collection_truncated", "deep", 1)}
+    assert {x[1] for x in told if x[0] == "depth_exceeded"} == {"far.a.b", "deep[][]"}
+    heard = []
+
+    def broken(*x):
+        raise OSError
+
+    report(seen, broken, lambda *x: heard.append(x))
+    assert heard == told
+    df = spark.createDataFrame([(1, f"to {MAIL}"), (3, "card 4111111111111111")], "k int, t string")
     assert {(r.category, r.findings) for r in findings_by(df, "t").collect()} == {("EMAIL", 1), ("PAN", 1)}

@@ -1,10 +1,12 @@
 import json
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloakframe.functions import pure
 from cloakframe.functions.keys import Key
 from cloakframe.plans.compiler import Engine
 from cloakframe.plans.policy import STRICT, Policy, metadata
@@ -14,7 +16,7 @@ from cloakframe.sources import dberrors
 from cloakframe.sources.jsonio import mask_json, masks_names
 from cloakframe.sources.logs import fill, mask_events
 from cloakframe.sources.records import Settings, mask_records, split_failures
-from cloakframe.streaming.masking import mask_stream, tokens_with_ttl, write_masked
+from cloakframe.streaming.masking import mask_stream, tokens_with_ttl, write_events, write_masked
 
 KEY = Key.of_secret("a secret that is long enough")
 ENGINE = Engine(key=KEY)
@@ -36,6 +38,9 @@ def test_json(spark):
     assert one(spark, f'{{"a": "{MAIL}"', lambda c: mask_json(c, STRICT, KEY)) == '"****"'
     assert one(spark, '{"k": 87}', lambda c: mask_json(c, STRICT, KEY)) == '{"k": 87}'
     assert one(spark, None, lambda c: mask_json(c, STRICT, KEY)) is None
+    exact = '{ "n": 1.10, "n" : 12345678901234567890.123456, "e":1e5, "s": "to %s", "u": "\\u0041\\/" }' % MAIL
+    assert one(spark, exact, lambda c: mask_json(c, STRICT, KEY)) == exact.replace(MAIL, MASKED)
+    assert json.loads(one(spark, '{"a": "john.doe\\u0040example.com"}', lambda c: mask_json(c, STRICT, KEY))) == {"a": MASKED}
     plain = Policy(scan_text=False, mask_keys=False)
     assert not masks_names(plain) and list(json.loads(one(spark, text, lambda c: mask_json(c, plain, KEY))))[1] == MAIL
 
@@ -49,7 +54,8 @@ def test_json(spark):
         (dberrors.detail, "", ""),
         (dberrors.primary, f"bad {MAIL}", f"bad {MASKED}"),
         (dberrors.where, 'COPY t, line 1: "secret"', 'COPY t, line 1: "****"'),
-        (dberrors.primary_quoted, "Duplicate entry 'Mustermann9910' for key 'customer.customer_email_key'", "Duplicate entry '****' for key 'customer.customer_email_key'"),
+        (dberrors.primary_quoted, "Duplicate entry 'Kim-4711' for key 'orders.orders_ref_key'", "Duplicate entry '****' for key 'orders.orders_ref_key'"),
+        (dberrors.primary_quoted, "it's 'a' and 'b c' and don't", "it'****'a'****'b c'****'t"),
         (dberrors.primary_quoted, "only 'name'", "only 'name'"),
         (dberrors.primary_quoted, "value 'a b' is long", "value '****' is long"),
         (dberrors.primary_quoted, "in \"select 'name' from\"", "in \"select '****' from\""),
@@ -59,6 +65,22 @@ def test_database_texts(spark, f, text, want):
     assert one(spark, text, lambda c: f(c, STRICT) if f is dberrors.key_values else f(c, STRICT, KEY)) == want
 
 
+def test_quoted_values_natively(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["'", "'", '"', "a", "b.c", " ", "9", "\n", "é"], k=rng.randrange(0, 14))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(dberrors.unquoted(F.col("t"), STRICT).alias("u")).collect()
+    assert [r.u for r in rows] == [dberrors.without_quoted_values(t, "****") for t in texts]
+
+
+def test_chains(spark):
+    links = [f"cause: {MAIL}", "Key (a)=(secret one) exists", "Duplicate entry 'x y'", "near 'x y'", None] + ["more"] * 13
+    states = [None, "23505", "23000", "42000", None] + [None] * 13
+    rows = spark.createDataFrame([(links, states), (["fine"], ["08000"]), (None, None)], "m array<string>, s array<string>")
+    got = [r.c for r in rows.select(dberrors.chain(F.col("m"), STRICT, KEY, F.col("s")).alias("c")).collect()]
+    assert got[0] == [f"cause: {MASKED}", "Key (a)=(****) exists", "Duplicate entry '****'", "near 'x y'", None] + ["more"] * 11 + ["****"] * 2
+    assert got[1:] == [["fine"], None]
+
+
 def test_database_errors(spark):
     names = ["severity", "sqlstate", "schema", "table", "column", "constraint", "message", "detail", "hint", "where", "internal_query"]
     rows = [("ERROR", "23505", "s", "t", "c", "k", "Duplicate entry 'a b'", "Key (e)=(x) exists.", MAIL, None, "select 'x'"), ("ERROR", "42601", None, None, None, None, "near 'a b'", None, None, None, None)]
@@ -112,10 +134,49 @@ def test_structured_records(spark):
     assert out[1].value is None and out[1].offset == 2
 
 
+def structured(spark, *values):
+    return spark.createDataFrame([(None if v is None else bytearray(v if isinstance(v, bytes) else v.encode()), k) for k, v in enumerate(values)], "value binary, offset int")
+
+
+SCHEMA = T.StructType(
+    [
+        T.StructField("email", T.StringType(), True, metadata(Declaration("EMAIL"))),
+        T.StructField("amount", T.DoubleType(), True, metadata(Keep("an amount in a test"))),
+        T.StructField("who", T.StructType([T.StructField("name", T.StringType(), True, metadata(Declaration("FULL_NAME")))])),
+        T.StructField("cards", T.ArrayType(T.StructType([T.StructField("pan", T.StringType(), True, metadata(Declaration("PAN")))]))),
+    ]
+)
+
+
+def test_undeclared_properties_stay(spark):
+    sent = '{"email":"%s","amount":1.10,"who":{"name":"Jane Roe","note":"to %s","n":1.50},"cards":[{"pan":"4111111111111111","x":null},{"pan":null}],"free":"to %s","none":null,"big":12345678901234567890.5,"deep":[{"%s":"%s"}]}' % (MAIL, MAIL, MAIL, MAIL, MAIL)
+    want = '{"email":"%s","amount":1.10,"who":{"name":"J*** R**","note":"to %s","n":1.50},"cards":[{"pan":"**** **** **** 1111","x":null},{"pan":null}],"free":"to %s","none":null,"big":12345678901234567890.5,"deep":[{"%s":"%s"}]}' % (MASKED, MASKED, MASKED, MASKED, MASKED)
+    out = mask_records(structured(spark, sent, "{}", '{"email":null}'), ENGINE, value_schema=SCHEMA).orderBy("offset").collect()
+    assert [bytes(r.value).decode() for r in out] == [want, "{}", '{"email":null}']
+
+
 def test_failures_are_withheld(spark):
-    rows = spark.createDataFrame([(1, "a", True), (2, None, True), (3, None, False)], "k int, value string, __had_value boolean")
-    good, failed = split_failures(rows)
-    assert {r.k for r in good.collect()} == {1, 3} and failed.columns == ["k"] and failed.first().k == 2
+    rows = structured(spark, '{"email":"%s"}' % MAIL, "{broken " + MAIL, MAIL, "[1]", None, b"\xff\xfe", "")
+    assert {r.offset for r in mask_records(rows, ENGINE, value_schema=SCHEMA).collect()} == {0, 4}
+    good, bad = split_failures(mask_records(rows, ENGINE, value_schema=SCHEMA, failed="failed"))
+    assert {r.offset: r.value and bytes(r.value).decode() for r in good.collect()} == {0: '{"email":"%s"}' % MASKED, 4: None}
+    assert bad.columns == ["offset"] and {r.offset for r in bad.collect()} == {1, 2, 3, 5, 6}
+    assert {r.offset for r in mask_records(rows, ENGINE).collect()} == {0, 1, 2, 3, 4, 6}
+    with pytest.raises(Exception, match="could not be masked") as e:
+        mask_records(rows, Engine(Policy(failure="THROW"), KEY), value_schema=SCHEMA).collect()
+    assert MAIL not in str(e.value)
+
+
+def test_record_settings(spark):
+    own = Engine(key=KEY).detector(pure.detector("employee", "CREDENTIAL", r"EMP-\d+"))
+    out = mask_records(structured(spark, "of EMP-12 and " + MAIL), own).first()
+    assert bytes(out.value).decode() == f"of **** and {MASKED}"
+    own.install()
+    text = '{"n": 4111111111111111, "s": "EMP-77"}'
+    out = mask_records(structured(spark, text), None, Settings.of({"value.format": "JSON"})).first()
+    assert bytes(out.value).decode() == text.replace("EMP-77", "****")
+    with pytest.raises(ValueError):
+        Settings.of({"key.format": "avro"})
 
 
 def test_streams(spark, tmp_path):
@@ -126,7 +187,23 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("offset").collect()
     assert MASKED in bytes(got[0].value).decode() and got[1].value is None
-    assert spark.read.parquet(f"{tmp_path}/withheld").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/withheld").count() == 0 and got[0].batch == 0
+
+
+def test_streamed_failures_and_a_batch_that_runs_again(spark, tmp_path):
+    structured(spark, '{"email":"%s"}' % MAIL, "{broken").write.parquet(f"{tmp_path}/in")
+    for again in ("a", "b"):  # another checkpoint, so the first batch runs once more into the same place
+        stream = spark.readStream.schema("value binary, offset int").parquet(f"{tmp_path}/in")
+        write_masked(stream, ENGINE, f"{tmp_path}/out", f"{tmp_path}/withheld", f"{tmp_path}/cp-{again}", value_schema=SCHEMA).awaitTermination()
+    assert [bytes(r.value).decode() for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ['{"email":"%s"}' % MASKED]
+    assert [(r.offset, r.batch) for r in spark.read.parquet(f"{tmp_path}/withheld").collect()] == [(1, 0)]
+
+
+def test_streamed_events(spark, tmp_path):
+    spark.createDataFrame([("to {}", [MAIL])], "template string, args array<string>").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("template string, args array<string>").parquet(f"{tmp_path}/in")
+    write_events(stream, ENGINE, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").first().message == f"to {MASKED}"
 
 
 def test_stream_tokens(spark, tmp_path):
