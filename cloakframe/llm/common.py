@@ -73,6 +73,22 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: A key is hot if it has more than this part of all rows, so there are fewer than HOT_KEYS of them.
+HOT_KEYS = 1000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined with facts (one row for each key), however many rows a key has.
+
+    Hot keys are fewer than HOT_KEYS, so their facts go to all tasks; only the others are dealt by key.
+    """
+    least = rows.count() // HOT_KEYS
+    sizes = rows.groupBy(key).agg(F.count("*").alias("rows_of_key"))
+    hot = stored(sizes.filter(F.col("rows_of_key") > least).orderBy(F.desc("rows_of_key")).limit(HOT_KEYS).select(key), "hot")
+    own = F.broadcast(facts.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(F.broadcast(hot), key, "left_anti").join(facts, key).unionByName(rows.join(own, key))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df hasn't got, like name."""
     taken = {c.lower() for c in df.columns}

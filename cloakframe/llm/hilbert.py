@@ -5,8 +5,10 @@ a row's place on the curve, as one SQL expression. Rows are sorted by place, the
 their key, so that one crowded place still spreads over many tasks, and equal runs are cut. All
 of it is DataFrame and SQL functions.
 
-Null values: a null in a dimension has a cell of its own hash; a null text has size 1 and the
-checksum 0; a null doc_id is a key like any other. Repeated rows get slots of their own.
+Null values: a null in a dimension has the cell of an empty value; a null text has size 1 and the
+checksum 0; a null doc_id is a key like any other. Repeated rows get slots of their own, and a key
+with many rows is dealt over many tasks. Very long texts are only measured. An empty table gives an
+empty one. Columns that have the names of the results are replaced; others stay.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import stored
+from cloakframe.llm.common import stored, unused
 
 BITS = 5
 SHARDS = 8
@@ -75,21 +77,30 @@ def ranked(df: DataFrame, order: list[str]) -> DataFrame:
 
     Rows are dealt by ranges of the order; only one number for each range meets in one place.
     """
-    dealt = stored(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("rows"))
-    before = sizes.select("part", (F.sum("rows").over(W.orderBy("part")) - F.col("rows")).alias("before"), F.sum("rows").over(W.partitionBy()).alias("total"))
-    numbered = dealt.withColumn("within", F.row_number().over(W.partitionBy("part").orderBy(*order)))
-    # before has a row for each shuffle partition, which bounds it.
-    return numbered.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("within") - 1).drop("part", "before", "within")
+    own, part, seq = [c for c in df.columns if c not in ("rank", "total")], unused(df, "part"), unused(df, "seq")
+    before, within = unused(df, "before"), unused(df, "within")
+    # Rows that are alike in the order are told apart by where they were read, so they spread too.
+    dealt = df.select(*[f"`{c}`" for c in own]).withColumn(seq, F.monotonically_increasing_id()).repartitionByRange(*order, seq)
+    dealt = stored(dealt.withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("rows"))
+    places = sizes.select(part, (F.sum("rows").over(W.orderBy(part)) - F.col("rows")).alias(before), F.sum("rows").over(W.partitionBy()).alias("total"))
+    numbered = dealt.withColumn(within, F.row_number().over(W.partitionBy(part).orderBy(*order, seq)))
+    # places has a row for each shuffle partition, which bounds it.
+    ranks = numbered.join(F.broadcast(places), part).withColumn("rank", F.col(before) + F.col(within) - 1)
+    return ranks.drop(part, seq, before, within)
 
 
 def shard_runs(df: DataFrame, dims: list[Column], key: str, shards: int = SHARDS) -> DataFrame:
     """df with hilbert, shard and slot: runs of the curve whose row counts differ by one at most."""
-    placed = df.withColumn("hilbert", hilbert_index(dims)).withColumn("tie", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    rows = ranked(placed, ["hilbert", "tie", key])
-    shard = F.expr(f"rank * {shards} div total")
-    first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return rows.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("rank") - first).drop("tie", "rank", "total")
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("hilbert", "shard", "slot")]
+    kept = df.select(*rest)
+    place, tie, own = unused(kept, "place"), unused(kept, "tie"), unused(kept, "row")
+    # df's own columns ride along in one, so that no name of theirs meets one of the numbering's.
+    placed = df.select(F.struct(*rest).alias(own), hilbert_index(dims).alias(place), F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).alias(tie), F.col(f"`{key}`").alias("key"))
+    rows = ranked(placed, [place, tie, "key"])
+    shard = F.expr(f"cast(rank * {shards} div total as int)")
+    first = F.expr(f"(rank * {shards} div total * total + {shards - 1}) div {shards}")
+    return rows.select(f"{own}.*", F.col(place).alias("hilbert"), shard.alias("shard"), (F.col("rank") - first).alias("slot"))
 
 
 def run_bounds(sharded: DataFrame, columns: list[str]) -> DataFrame:

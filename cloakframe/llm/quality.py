@@ -9,7 +9,10 @@ Training rows: labelled rows with a quality of 0 or 1, a hash of whose doc_id li
 that keeps about TRAIN_ROWS of them; only their statistics reach the driver. That is the
 documented sample; scoring reads every whole text. A document with several labels counts once for
 each. If only one label occurs, or none, the score is the same for all texts (0.5 for none).
-A null text is an empty one; its statistics are zero.
+Where ids repeat so often that there are over SPARE times as many, the first by a hash are taken.
+A null text is an empty one; its statistics are zero. Very long texts are read whole, repeated rows
+scored each; a score of exactly 0.5 is a 1. Empty tables give empty ones. Columns that have the
+names of the results are replaced; others stay.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cloakframe.llm.common import fold, prepare
+from cloakframe.llm.common import fold, prepare, unused
 
 #: Labelled rows that the trees and weights are fitted on, in expectation.
 TRAIN_ROWS = 4_000
+#: Rows that reach the driver, at most, over the rows that are expected to.
+SPARE = 4
 TREES = 16
 DEPTH = 3
 BINS = 24
@@ -208,10 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(usable)
     n = known.count()
     bound = int(min(1.0, rows / max(n, 1)) * (1 << 20))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < bound)
+    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < bound).orderBy(F.xxhash64("doc_id", "quality")).limit(SPARE * rows)
     # The sample's bound is the parameter rows, so it may be sent to all tasks.
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = with_statistics(texts, ["doc_id", "quality"]).select("doc_id", "quality", "stats.*").toPandas()
+    found = with_statistics(texts, ["doc_id", "quality"]).select("doc_id", "quality", "stats.*")
+    got = found.orderBy(F.xxhash64("doc_id", "quality", *STATS)).limit(SPARE * rows).toPandas()
     got = got.iloc[np.lexsort((got["quality"], got["doc_id"] * 0x9E3779B1 % (1 << 32)))] if len(got) else got
     return fit(got[list(STATS)].to_numpy(float), got["quality"].to_numpy(float))
 
@@ -224,7 +230,8 @@ def scored(docs: DataFrame, model: RuleModel, keep: list[str]) -> DataFrame:
 
 def accepted(docs: DataFrame, model: RuleModel) -> DataFrame:
     """The rows of docs that the model predicts to be good, as they are."""
-    return with_statistics(docs, docs.columns, "__stats").filter(model.column("__stats") >= 0.5).drop("__stats")
+    name = unused(docs, "stats")
+    return with_statistics(docs, docs.columns, name).filter(model.column(name) >= 0.5).drop(name)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
