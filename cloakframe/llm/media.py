@@ -5,8 +5,11 @@ a track's sample tables (stts, stsc, stsz or stz2, stco or co64, stss) and retur
 handler, duration and the byte ranges of its samples and keyframes; no payload byte is looked at.
 write_container makes such a file: one track of 8-bit samples ('raw '), in frames of 576.
 
+Fragments (moof) add the samples of their runs to the track's. All tracks come back.
+
 Null or empty payloads make a container of one padding frame. Bytes that aren't a container, or
-that break off within a box, give an error text and nulls for the rest.
+that break off within a box, give an error text and nulls for the rest. Very long payloads are one
+file each, repeated rows files of their own; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from cloakframe.llm.common import prepare, shared_dir
 
@@ -82,6 +86,7 @@ def write_container(payload: bytes) -> bytes:
 
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     handler: str = ""
     timescale: int = 0
@@ -118,86 +123,159 @@ def _numbers(data: memoryview, at: int, end: int, form: str) -> list[tuple]:
     return list(struct.iter_unpack(">" + form, data[at + 4 : at + 4 + n * size]))
 
 
+def _media(t: Track, tab: dict, kind: bytes, data: memoryview, a: int, b: int) -> None:
+    """What a box of a track says, into the track and its sample tables."""
+    if kind == b"tkhd":
+        t.number = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
+    elif kind == b"mdhd":
+        t.timescale, t.duration = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
+    elif kind == b"hdlr":
+        t.handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
+    elif kind == b"stsd":
+        t.codec = bytes(data[a + 12 : a + 16]).decode("latin-1")
+    elif kind in (b"stco", b"co64"):
+        tab["chunks"] = [x for (x,) in _numbers(data, a + 4, b, "I" if kind == b"stco" else "Q")]
+    elif kind == b"stsc":
+        tab["runs"] = _numbers(data, a + 4, b, "III")
+    elif kind == b"stss":
+        tab["keys"] = [x for (x,) in _numbers(data, a + 4, b, "I")]
+    elif kind == b"stsz":
+        one, n = struct.unpack_from(">II", data, a + 4)
+        tab["sizes"] = [one] * n if one else [x for (x,) in _numbers(data, a + 8, b, "I")]
+    elif kind == b"stz2":
+        width, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+        body = data[a + 12 : b]
+        tab["sizes"] = [body[k // 2] >> (4 if k % 2 == 0 else 0) & 15 for k in range(n)] if width == 4 else [int.from_bytes(body[k * width // 8 : (k + 1) * width // 8], "big") for k in range(n)]
+
+
+def _fragment(data: memoryview, start: int, end: int, at: int, tracks: dict[int, Track], rules: dict[int, tuple[int, int, int]]) -> None:
+    """The samples of a movie fragment whose box begins at a place: runs of each track, one after the other."""
+    for path, a, b in walk(data, start, end):
+        flags = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF if b - a >= 4 else 0
+        if path == (b"traf", b"tfhd"):
+            number, a = struct.unpack_from(">I", data, a + 4)[0], a + 8
+            base = at
+            lasting, size, marks = rules.get(number, (0, 0, 0))
+            if flags & 1:
+                base, a = struct.unpack_from(">Q", data, a)[0], a + 8
+            a += 4 * bool(flags & 2)
+            if flags & 8:
+                lasting, a = struct.unpack_from(">I", data, a)[0], a + 4
+            if flags & 16:
+                size, a = struct.unpack_from(">I", data, a)[0], a + 4
+            if flags & 32:
+                marks = struct.unpack_from(">I", data, a)[0]
+            t, place = tracks.get(number), base
+            if t is None:
+                raise ValueError("a fragment of no track")
+        elif path == (b"traf", b"trun"):
+            n, a = struct.unpack_from(">I", data, a + 4)[0], a + 8
+            if flags & 1:
+                place, a = base + struct.unpack_from(">i", data, a)[0], a + 4
+            first = None
+            if flags & 4:
+                first, a = struct.unpack_from(">I", data, a)[0], a + 4
+            width = 4 * sum(bool(flags & x) for x in (0x100, 0x200, 0x400, 0x800))
+            if a + n * width > b:
+                raise ValueError("a table breaks off")
+            for k in range(n):
+                own = [lasting, size, first if k == 0 and first is not None else marks]
+                for i, x in enumerate((0x100, 0x200, 0x400)):
+                    if flags & x:
+                        own[i], a = struct.unpack_from(">I", data, a)[0], a + 4
+                a += 4 * bool(flags & 0x800)
+                t.samples.append((place, own[1]))
+                if not own[2] & 0x10000:
+                    t.keyframes.append(t.samples[-1])
+                t.duration += own[0]
+                place += own[1]
+
+
 def read_container(raw: bytes) -> list[Track]:
-    """The tracks of a file; ValueError if it isn't a whole container."""
+    """The tracks of a file, fragments too; ValueError if it isn't a whole container."""
     data, tracks, tables = memoryview(raw), [], []
+    rules, fragments = {}, []
     try:
         for path, a, b in walk(data, 0, len(raw)):
             kind = path[-1]
             if kind == b"trak":
                 tracks.append(Track())
                 tables.append({})
-            if b"trak" not in path[:-1]:
-                continue
-            t, tab = tracks[-1], tables[-1]
-            if kind == b"mdhd":
-                t.timescale, t.duration = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
-            elif kind == b"hdlr":
-                t.handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
-            elif kind == b"stsd":
-                t.codec = bytes(data[a + 12 : a + 16]).decode("latin-1")
-            elif kind in (b"stco", b"co64"):
-                tab["chunks"] = [x for (x,) in _numbers(data, a + 4, b, "I" if kind == b"stco" else "Q")]
-            elif kind == b"stsc":
-                tab["runs"] = _numbers(data, a + 4, b, "III")
-            elif kind == b"stss":
-                tab["keys"] = [x for (x,) in _numbers(data, a + 4, b, "I")]
-            elif kind == b"stsz":
-                one, n = struct.unpack_from(">II", data, a + 4)
-                tab["sizes"] = [one] * n if one else [x for (x,) in _numbers(data, a + 8, b, "I")]
-            elif kind == b"stz2":
-                width, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
-                body = data[a + 12 : b]
-                tab["sizes"] = [body[k // 2] >> (4 if k % 2 == 0 else 0) & 15 for k in range(n)] if width == 4 else [int.from_bytes(body[k * width // 8 : (k + 1) * width // 8], "big") for k in range(n)]
+            elif kind == b"trex":
+                number, _, *rule = struct.unpack_from(">5I", data, a + 4)
+                rules[number] = tuple(rule)
+            elif path == (b"moof",):
+                fragments.append((a, b, a - (16 if struct.unpack_from(">I", data, a - 16)[0] == 1 and bytes(data[a - 12 : a - 8]) == b"moof" else 8) if a >= 16 else a - 8))
+            elif b"trak" in path[:-1]:
+                _media(tracks[-1], tables[-1], kind, data, a, b)
+        if not tracks:
+            raise ValueError("no track")
+        for t, tab in zip(tracks, tables, strict=True):
+            _samples(t, tab)
+        for a, b, at in fragments:
+            _fragment(data, a, b, at, {t.number: t for t in tracks}, rules)
     except (struct.error, IndexError) as e:
         raise ValueError("a table breaks off") from e
-    if not tracks:
-        raise ValueError("no track")
-    for t, tab in zip(tracks, tables, strict=True):
-        sizes, runs, k = tab.get("sizes", []), tab.get("runs", []), 0
-        at_run = 0
-        for chunk, place in enumerate(tab.get("chunks", []), 1):
-            while at_run + 1 < len(runs) and runs[at_run + 1][0] <= chunk:
-                at_run += 1
-            for _ in range(runs[at_run][1] if runs else 0):
-                if k >= len(sizes):
-                    break
-                t.samples.append((place, sizes[k]))
-                place, k = place + sizes[k], k + 1
-        if k < len(sizes) or any(a + n > len(raw) for a, n in t.samples):
-            raise ValueError("samples lie outside the file")
-        # Without a table of sync samples every sample is one.
-        t.keyframes = [t.samples[x - 1] for x in tab["keys"] if 0 < x <= len(sizes)] if "keys" in tab else t.samples
+    if any(a + n > len(raw) for t in tracks for a, n in t.samples):
+        raise ValueError("samples lie outside the file")
     return tracks
 
 
-COLUMNS = "error string, codec string, handler string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,size:long>>"
+def _samples(t: Track, tab: dict) -> None:
+    """Places and sizes of the samples, from the tables."""
+    sizes, runs, k, at_run = tab.get("sizes", []), tab.get("runs", []), 0, 0
+    for chunk, place in enumerate(tab.get("chunks", []), 1):
+        while at_run + 1 < len(runs) and runs[at_run + 1][0] <= chunk:
+            at_run += 1
+        for _ in range(runs[at_run][1] if runs else 0):
+            if k >= len(sizes):
+                break
+            t.samples.append((place, sizes[k]))
+            place, k = place + sizes[k], k + 1
+    if k < len(sizes):
+        raise ValueError("samples lie outside the file")
+    # Without a table of sync samples every sample is one.
+    t.keyframes = [t.samples[x - 1] for x in tab["keys"] if 0 < x <= len(sizes)] if "keys" in tab else t.samples[:]
+
 
+_TRACK = "codec string, handler string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,size:long>>"
+COLUMNS = f"error string, {_TRACK}, tracks array<struct<{_TRACK.replace(' string', ':string').replace(' long', ':long').replace(' array', ':array').replace(', ', ',')}>>"
+_NAMES = ("error", "codec", "handler", "timescale", "duration", "n_samples", "keyframes", "tracks")
+_RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
+_KINDS = dict(zip(_NAMES[1:-1], (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _RANGES), strict=True))
 
-def _read_row(raw: bytes | None) -> tuple[Track | None, str | None]:
+
+def _read_row(raw: bytes | None) -> tuple[list[Track], str | None]:
     try:
-        return read_container(raw or b"")[0], None
+        return read_container(raw or b""), None
     except ValueError as e:
-        return None, str(e)
+        return [], str(e)
+
+
+def _told(t: Track) -> dict:
+    return {"codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.samples), "keyframes": [{"offset": a, "size": n} for a, n in t.keyframes]}
 
 
 def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
-    """df with its binary column replaced by what the container's boxes say of its first track."""
-    rest = [f for f in df.schema.fields if f.name != column]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [COLUMNS])
+    """df with its binary column replaced by what the container's boxes say of all tracks.
+
+    The columns of one track are those of the first with pictures, or else of the first. Columns of
+    df that have the names of the results are replaced.
+    """
+    rest = [f for f in df.schema.fields if f.name != column and f.name not in _NAMES]
+    schema = StructType([*rest, *_parse_datatype_string(COLUMNS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_read_row(x) for x in batch.column(column).to_pylist()]
-            arrays = [batch.column(f.name) for f in rest]
-            arrays += [pa.array([e for _, e in got], pa.string())]
-            arrays += [pa.array([getattr(t, k) if t else None for t, _ in got], kind) for k, kind in (("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()))]
-            arrays += [pa.array([len(t.samples) if t else None for t, _ in got], pa.int64())]
-            ranges = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
-            arrays += [pa.array([[{"offset": a, "size": n} for a, n in t.keyframes] if t else None for t, _ in got], ranges)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in rest] + [x.split()[0] for x in COLUMNS.split(", ")])
-
-    return df.select(*[f"`{f.name}`" for f in rest], column).mapInArrow(run, schema)
+            got = [_read_row(x) for x in batch.column(len(rest)).to_pylist()]
+            told = [[_told(t) for t in tracks] for tracks, _ in got]
+            one = [next((x for x in own if x["handler"] == "vide"), own[0]) if own else dict.fromkeys(_KINDS) for own in told]
+            arrays = [*batch.columns[: len(rest)], pa.array([e for _, e in got], pa.string())]
+            arrays += [pa.array([x[k] for x in one], kind) for k, kind in _KINDS.items()]
+            arrays += [pa.array([own or None for own in told], pa.list_(pa.struct(list(_KINDS.items()))))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return df.select(*[f"`{f.name}`" for f in rest], f"`{column}`").mapInArrow(run, schema)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
