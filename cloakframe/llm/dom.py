@@ -8,11 +8,11 @@ from html import unescape
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:@][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-#: Fixed values of HTML: elements without an end, elements whose content is no markup, elements that
-#: begin a block of their own.
+#: Fixed values of HTML: elements without an end, elements whose content is no text of the page,
+#: elements whose content is text without markup, elements that begin a block of their own.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe noembed noframes xmp object".split())
-PLAIN = set("textarea title".split())
+RAW = set("script style".split())
+PLAIN = set("textarea title xmp".split())
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
@@ -84,7 +84,7 @@ def parse(html: str | None) -> Page:
         if name in RAW or name in PLAIN:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
             if name in PLAIN and (inner := html[at : end.start() if end else len(html)]):
-                page.add("", node, unescape(inner))
+                page.add("", node, inner if name == "xmp" else unescape(inner))
             at = end.end() if end else len(html)
         elif name not in VOID:
             stack.append(node)

@@ -10,7 +10,9 @@ The weights are fitted by gradient ascent on the likelihood of labelled pages, w
 come from the same message passing. The labelled pages are written by a generator from common
 page layouts (labelled_pages), since no table labels pages; the fit takes PAGES of them and is the
 same on every machine. Null html is an empty page; any bytes make some tree. White space is what
-str.split() takes for it.
+str.split() takes for it. Text of noscript, object, template and frames is text like any other.
+Content as likely as not is none. Whole pages are read, however long; repeated rows are extracted
+each, an empty table gives an empty one, and other columns of pages stay out of the result.
 """
 
 from __future__ import annotations

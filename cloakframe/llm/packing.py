@@ -8,7 +8,9 @@ left at the end of a task's rows is cut at powers of two. So windows have no pad
 is full, or a power of two long. Windows of a tier form step groups of equally many tokens.
 
 Each task packs its own rows, a block at a time, so there is no shuffle and no state beyond the
-block. A null text is an empty one (it still has the end id); a null doc_id stays null.
+block. A null text is an empty one (it still has the end id); a null doc_id stays null. Repeated
+rows are documents of their own; very long texts are cut into whole windows; of pieces of one length
+the later document's goes first. An empty table gives no pieces; other columns play no part.
 """
 
 from __future__ import annotations

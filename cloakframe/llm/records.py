@@ -9,6 +9,8 @@ reader can take records in any order.
 
 Documents are sorted by doc_id over range partitions, one file each. A null text is an empty one
 (it still has the end id); a null doc_id comes first; rows that repeat a doc_id follow each other.
+Very long texts are one record each. An empty table gives an index without rows; other columns play
+no part.
 """
 
 from __future__ import annotations
