@@ -2,9 +2,10 @@
 
 The trie's nodes are prefixes. Pairs of nodes descend together from the top; each level adds a
 bit to both, a pair that has spent its error budget is cut off, and small pairs are compared
-directly. The upper levels are rows: fingerprints are gathered into subtrees (leaves) of bounded
-size, deeper where a prefix is crowded, and pairs of leaves within the budget are joined. The
-lower levels run inside a task on the two leaves' sorted arrays.
+directly. The upper levels are rows, STEP bits at a time: fingerprints are gathered into subtrees
+(leaves) of bounded size, deeper where a prefix is crowded, and pairs of nodes go down to pairs of
+leaves as rows of prefixes only; the leaves' arrays join what is left. The lower levels run inside
+a task on the two leaves' sorted arrays.
 
 A leaf never has over LEAF fingerprints, as equal ones count once. A pair of leaves returns a
 minimum spanning forest of its links rather than all of them: at most one link for each
@@ -15,14 +16,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import stored
+from cloakframe.llm.common import discard, hot_join, stored
 
 #: Fingerprints in a leaf, at most.
 LEAF = 1 << 13
@@ -32,6 +32,8 @@ COMPARE = 1 << 20
 #: Node pairs with no more fingerprint pairs than this are compared directly.
 DIRECT = 64
 STEP = 4
+#: Edges that one task may have, whatever their nodes.
+FEW = 1 << 16
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -139,10 +141,6 @@ def pair_forest(x: np.ndarray, y: np.ndarray | None, depth: int, spent: int, bud
     return nodes[i[on]], nodes[j[on]], d[on]
 
 
-def _masks(bits: int, budget: int) -> list[int]:
-    return [sum(1 << k for k in c) for n in range(budget + 1) for c in combinations(range(bits), n)]
-
-
 def _leaves(fps: DataFrame, n: int) -> DataFrame:
     """fps (view, fp): (view, depth, prefix, block), each leaf's fingerprints as one binary."""
     depth, rest, found = max(8, STEP * math.ceil(math.log2(max(n, 1) / LEAF) / STEP)), fps, []
@@ -167,6 +165,39 @@ def _leaves(fps: DataFrame, n: int) -> DataFrame:
 LINKS = "view int, a long, b long, distance int"
 
 
+PAIRS = "view int, da int, pa long, la boolean, db int, pb long, lb boolean, spent int"
+
+
+def _descended(leaves: DataFrame, budget: int) -> DataFrame:
+    """PAIRS of leaves (view, depth, prefix) that the budget allows: node pairs go down from the top together.
+
+    Each level adds STEP bits to both nodes of a pair. A leaf waits for its partner to become one, and
+    bits beyond the leaf's depth aren't counted yet.
+    """
+    spark = leaves.sparkSession
+    deepest = leaves.agg(F.max("depth")).first()[0] or 0
+    top = leaves.select("view").distinct()
+    pairs = top.select("view", F.lit(0).alias("da"), F.lit(0).cast("long").alias("pa"), F.lit(False).alias("la"), F.lit(0).alias("db"), F.lit(0).cast("long").alias("pb"), F.lit(False).alias("lb"), F.lit(0).alias("spent"))
+    for depth in range(STEP, deepest + 1, STEP):
+        nodes = leaves.filter(F.col("depth") >= depth)
+        nodes = nodes.select("view", F.expr(f"shiftrightunsigned(prefix, depth - {depth})").alias("node"), (F.col("depth") == depth).alias("leaf")).distinct()
+        nodes = nodes.withColumn("parent", F.shiftrightunsigned("node", STEP))
+        pairs = pairs.withColumn("same", (F.col("da") == F.col("db")) & (F.col("pa") == F.col("pb")) & ~F.col("la"))
+        for side in ("a", "b"):
+            children = nodes.select("view", F.col("parent").alias(f"p{side}"), F.col("node").alias("child"), "leaf")
+            gone = pairs.filter(~F.col(f"l{side}")).join(children, ["view", f"p{side}"])
+            gone = gone.withColumn(f"p{side}", F.col("child")).withColumn(f"l{side}", F.col("leaf")).withColumn(f"d{side}", F.lit(depth)).drop("child", "leaf")
+            pairs = gone.unionByName(pairs.filter(F.col(f"l{side}")))
+        both = (F.col("da") == depth) & (F.col("db") == depth)
+        more = F.when(both, F.bit_count(F.col("pa").bitwiseXOR(F.col("pb")).bitwiseAND(F.lit((1 << STEP) - 1)))).otherwise(F.lit(0))
+        pairs = pairs.withColumn("spent", (F.col("spent") + more).cast("int")).filter((F.col("spent") <= budget) & (~F.col("same") | (F.col("pa") <= F.col("pb"))))
+        pairs = stored(pairs.select(*[x.split()[0] for x in PAIRS.split(", ")]), "pairs")
+    return pairs if deepest else spark.createDataFrame([], PAIRS)
+
+
+LINKS = "view int, a long, b long, distance int"
+
+
 def links(fps: DataFrame, budget: int = 3) -> DataFrame:
     """fps (view int, fp long), distinct: links (view, a, b, distance) that span each component.
 
@@ -174,25 +205,14 @@ def links(fps: DataFrame, budget: int = 3) -> DataFrame:
     """
     fps = stored(fps, "fingerprints")
     leaves = stored(_leaves(fps, fps.count()), "leaves")
-    depths = sorted(r.depth for r in leaves.select("depth").distinct().collect())
-    keys, rows = leaves.select("view", "depth", "prefix"), []
-    for k, low in enumerate(depths):
-        masks = F.explode(F.lit(_masks(low, budget)).cast("array<long>"))
-        upper = keys.filter(F.col("depth") == low).select("view", F.col("prefix").alias("pa"))
-        for high in depths[k:]:
-            near = keys.filter(F.col("depth") == high).select("view", F.col("prefix").alias("pb"), F.shiftrightunsigned("prefix", high - low).alias("top"), masks.alias("mask"))
-            pairs = near.withColumn("pa", F.col("top").bitwiseXOR(F.col("mask"))).join(upper, ["view", "pa"])
-            if low == high:
-                pairs = pairs.filter("pa <= pb")
-            rows.append(pairs.select("view", F.lit(low).alias("da"), "pa", F.lit(high).alias("db"), "pb", F.bit_count("mask").alias("spent")))
-    if not rows:
-        return fps.sparkSession.createDataFrame([], LINKS)
-    pairs = rows[0]
-    for x in rows[1:]:
-        pairs = pairs.unionByName(x)
-    first = leaves.select("view", F.col("depth").alias("da"), F.col("prefix").alias("pa"), F.col("block").alias("x"))
-    second = leaves.select("view", F.col("depth").alias("db"), F.col("prefix").alias("pb"), F.col("block").alias("y"))
-    both = pairs.join(first, ["view", "da", "pa"]).join(second, ["view", "db", "pb"])
+    pairs = _descended(leaves.select("view", "depth", "prefix"), budget)
+    # The node that ended first comes first: its depth is what both share.
+    first = F.col("da") <= F.col("db")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    pairs = pairs.select("view", pick("da", "db").alias("da"), pick("pa", "pb").alias("pa"), pick("db", "da").alias("db"), pick("pb", "pa").alias("pb"), "spent")
+    x = leaves.select("view", F.col("depth").alias("da"), F.col("prefix").alias("pa"), F.col("block").alias("x"))
+    y = leaves.select("view", F.col("depth").alias("db"), F.col("prefix").alias("pb"), F.col("block").alias("y"))
+    both = pairs.join(x, ["view", "da", "pa"]).join(y, ["view", "db", "pb"])
     ready = both.select("view", "da", "spent", ((F.col("da") == F.col("db")) & (F.col("pa") == F.col("pb"))).alias("same"), "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,25 +230,31 @@ def links(fps: DataFrame, budget: int = 3) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """(node, root) for every node of the edges: root is the least node of its component.
 
-    Alternating large and small stars; no group is gathered, only minima. Each round is written
-    to the shared folder. RuntimeError if the rounds don't suffice.
+    Alternating large and small stars; no group is gathered, only minima. Hubs with many rows meet
+    their least node in every task, the others are dealt by node. Each round is written to the shared
+    folder, and the one before deleted. RuntimeError if the rounds don't suffice.
     """
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    # Few edges fit a task whatever their hubs.
+    meet = hot_join if now.count() > FEW else (lambda stars, least, key: stars.join(least, key))
     mark = None
     for _ in range(rounds):
         # Large star: every neighbour above a node goes to the least of the node's neighbourhood.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        large = meet(now.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         large = stored(large.filter("u <> v").distinct(), "large")
+        discard(now)
         # Small star: a node and its lower neighbours go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = stored(now.filter("u <> v").distinct(), "small")
+        small = meet(large.select("u", F.col("v").alias("w")), low, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small")
+        discard(large)
         new = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if new == mark:
             roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-            return stored(roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+            out = stored(roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+            discard(now)
+            return out
         mark = new
     raise RuntimeError(f"components are not stable after {rounds} rounds")
