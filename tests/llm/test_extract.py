@@ -78,3 +78,15 @@ def test_query(spark, tables):
     assert got == sorted([(1, "u", TEXT, len(TEXT)), (2, None, "", 0), (3, "u", "", 0), (4, "u", TEXT, len(TEXT)), (None, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (5, "u", long, len(long))], key=str)
     assert main_text(html, trained()) == TEXT
     assert op10_dom_marginals(spark, tables(pages=([], PAGES))).collect() == []
+
+
+def test_text_of_other_elements():
+    inner = "<noscript><p>Inside there is text of the article, some words long.</p></noscript><object><p>And here is more of its text, as before.</p></object><template><p>Some words to end it, and no more than that.</p></template>"
+    assert main_text(f"<body><article><h1>Title</h1><p>The beginning of the article is here.</p>{inner}</article></body>", trained()) == "Title The beginning of the article is here. Inside there is text of the article, some words long. And here is more of its text, as before. Some words to end it, and no more than that."
+    assert whole("<xmp>a <b>&amp;</b></xmp>") == "a <b>&amp;</b>" and whole("<iframe>c &amp; d</iframe>") == "c & d"
+
+
+def test_many_short_paragraphs():
+    words = [f"word{i}" for i in range(5000)]
+    html = "<body><nav><a href=/>Home</a> <a href=/x>About</a></nav><div><h1>Title here</h1>" + "".join(f"<p>{w}</p>" for w in words) + "</div><footer>&copy; me</footer></body>"
+    assert main_text(html, trained()) == "Title here " + " ".join(words)

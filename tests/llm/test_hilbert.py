@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.llm.hilbert import hilbert_index, op7_hilbert_shards, op7_sql, run_bounds, shard_runs
-from helpers import DOCS, ODD
+from helpers import DOCS, ODD, doc
 
 
 @pytest.mark.parametrize(("n", "bits"), [(2, 3), (3, 2)])
@@ -40,6 +40,17 @@ def test_runs_prune(spark):
     assert all(r.max_a - r.min_a < 32 and r.max_b - r.min_b < 32 for r in runs)
 
 
+def test_names_and_a_key_with_many_rows(spark):
+    """A table's own columns stay, whatever their names; rows of one key spread over the shards."""
+    names = ["tie", "rank", "total", "part", "before", "within", "seq", "place", "row", "key", "rows"]
+    df = spark.range(400).selectExpr("cast(null as long) id", "cast(id as int) n", *[f"'{c}' || id as {c}" for c in names], "5 as slot")
+    out = shard_runs(df.repartition(4), [F.lit(1), F.lit(2)], "id", 8)
+    assert out.columns == ["id", "n", *names, "hilbert", "shard", "slot"]
+    rows = out.collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(k, i) for k in range(8) for i in range(50)]
+    assert sorted(r.n for r in rows) == list(range(400)) and all(r[c] == f"{c}{r.n}" for r in rows for c in names)
+
+
 def test_empty(spark, tables):
     assert op7_hilbert_shards(spark, tables(documents=([], DOCS))).collect() == []
 
@@ -53,3 +64,12 @@ def test_sql(spark, tables):
     got = op7_hilbert_shards(spark, d)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(con.execute(op7_sql()).fetchall(), key=str)
     assert got.columns == [x[0] for x in con.execute(op7_sql()).description]
+
+
+def test_repeated_rows_against_sql(spark, tables):
+    """Rows that repeat get the same slots as in SQL, as a whole."""
+    rows = [doc(i // 3, "some words " * (i // 9 % 4)) for i in range(90)]
+    d = tables(documents=(rows, DOCS))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, op7_hilbert_shards(spark, d).collect()), key=str) == sorted(con.execute(op7_sql()).fetchall(), key=str)

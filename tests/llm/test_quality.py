@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from cloakframe.llm import quality
 from cloakframe.llm.quality import STATS, covers, fit, op2_quality, scored, statistics
 from helpers import DOCS, ODD, doc
 
@@ -48,3 +50,14 @@ def test_no_labels(spark, tables):
     scores = {r.score for r in op2_quality(spark, tables(documents=(rows, DOCS), labels=(one, LABELS))).collect()}
     assert len(scores) == 1 and scores.pop() > 0.5
     assert op2_quality(spark, tables(documents=([], DOCS), labels=(one, LABELS))).collect() == []
+
+
+def test_an_id_with_many_rows(spark, monkeypatch):
+    """Neither rows nor labels that repeat reach the driver beyond the bound."""
+    rows, labels = made(60)
+    many = [(labels[0][0], *r[1:]) for r in rows[:1] * 400]
+    docs = spark.createDataFrame(rows + many, DOCS)
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: taken.append(len(y)))
+    quality.train(docs, spark.createDataFrame(labels + labels[:1] * 300, LABELS), F.lit(True), rows=20)
+    assert 0 < taken[0] <= quality.SPARE * 20
