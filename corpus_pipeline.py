@@ -10,7 +10,9 @@ decontamination: rows that hold no benchmark item within its error budget stay.
 packing: what is left, as pieces of sequences.
 
 Null texts have no quality of their own (the model decides on zeros), no language, and so go in
-the second stage at the latest. An empty table gives an empty table of the same columns.
+the second stage at the latest. An empty table gives an empty table of the same columns. Very long
+texts are read whole by every stage, and packed whole. Repeated rows are copies: one of them stays.
+Columns besides those of documents stay up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import langid, leaks, near, packing, quality
-from cloakframe.llm.common import prepare, stored, table
+from cloakframe.llm.common import prepare, stored, table, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = leaks.with_leaks(docs, table(spark, sf_dir, "benchmark"), column="__leaks")
-    return found.filter(F.size("__leaks") == 0).drop("__leaks")
+    name = unused(docs, "leaks")
+    found = leaks.with_leaks(docs, table(spark, sf_dir, "benchmark"), column=name)
+    return found.filter(F.size(name) == 0).drop(name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
