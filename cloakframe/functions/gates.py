@@ -12,7 +12,8 @@ from cloakframe.functions import checksums, pure
 
 def may_match(c: Column, d: pure.Detector) -> Column:
     """A necessary condition of the detector's findings; true for one that states none."""
-    needs = [c.contains(d.needs)] * bool(d.needs) + [c.rlike(d.loose)] * bool(d.loose)
+    hinted = [reduce(Column.__or__, [F.lower(c).contains(h) for h in d.hints])] if d.hints else []
+    needs = [c.contains(d.needs)] * bool(d.needs) + hinted + [c.rlike(d.loose)] * bool(d.loose)
     return reduce(Column.__and__, needs) if needs else F.lit(True)
 
 

@@ -91,8 +91,9 @@ class Signals:
 class Detector:
     """Finds a category by a pattern (group 1 if it has one), a check of the match, and a gate.
 
-    needs is a text, and loose a pattern without word bounds, that every text with a finding has: the
-    engine asks them of a text before any Python does. Without them every text is looked at.
+    needs is a text, hints are lower-case words of which one (in any case), and loose is a pattern
+    without word bounds, that every text with a finding has: the engine asks them of a text before any
+    Python does, the cheap ones first. Without them every text is looked at.
     """
 
     name: str
@@ -102,6 +103,7 @@ class Detector:
     gate: Callable[[Signals], bool] | None = None
     needs: str = ""
     loose: str = ""
+    hints: tuple[str, ...] = ()
 
     def detect(self, text: str) -> list[tuple[int, int]]:
         group = 1 if self.pattern.groups else 0
@@ -111,16 +113,16 @@ class Detector:
         return self.gate is None or self.gate(s)
 
 
-def detector(name: str, category: str, pattern: str, check: Callable[[str], bool] | None = None, gate: Callable[[Signals], bool] | None = None, needs: str = "", loose: str = "") -> Detector:
-    return Detector(name, category, re.compile(pattern, re.ASCII), check, gate, needs, loose)
+def detector(name: str, category: str, pattern: str, check: Callable[[str], bool] | None = None, gate: Callable[[Signals], bool] | None = None, needs: str = "", loose: str = "", hints: tuple[str, ...] = ()) -> Detector:
+    return Detector(name, category, re.compile(pattern, re.ASCII), check, gate, needs, loose, hints)
 
 
 #: What each detector accepts, and the necessary conditions, in order of priority.
 DETECTORS = (
     detector("private-key", "CREDENTIAL", r"(-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z ]+ )?PRIVATE KEY-----)", gate=lambda s: s.all("-BEGIN"), needs="PRIVATE KEY-----", loose=r"-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----"),
     detector("jwt", "CREDENTIAL", r"\b(eyJ[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]*)", gate=lambda s: s.all("eyJ."), needs="eyJ", loose=r"eyJ[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]{4}"),
-    detector("bearer-token", "CREDENTIAL", r"(?i)\b(?:bearer|basic)\s+([A-Za-z0-9._\-~+/]{8,}={0,2})", gate=lambda s: s.any("bB") and s.length >= 15, loose=r"(?i)(?:bearer|basic)[ \t\n\x0B\f\r]+[A-Za-z0-9._\-~+/]{8}"),
-    detector("assigned-secret", "CREDENTIAL", r"(?i)\b(?:pass(?:word|wd)?|secret|api[_\-]?key|access[_\-]?token|client[_\-]?secret|private[_\-]?key)\s*[=:]\s*\"?([^\s\"',;&]{4,})\"?", gate=lambda s: s.any("=:"), loose=r"(?i)(?:pass|pwd|passwd|password|secret|api[_\-]?key|token|private[_\-]?key)[ \t\n\x0B\f\r]*[=:]"),
+    detector("bearer-token", "CREDENTIAL", r"(?i)\b(?:bearer|basic)\s+([A-Za-z0-9._\-~+/]{8,}={0,2})", gate=lambda s: s.any("bB") and s.length >= 15, loose=r"(?i)(?:bearer|basic)[ \t\n\x0B\f\r]+[A-Za-z0-9._\-~+/]{8}", hints=("bearer", "basic")),
+    detector("assigned-secret", "CREDENTIAL", r"(?i)\b(?:pass(?:word|wd)?|secret|api[_\-]?key|access[_\-]?token|client[_\-]?secret|private[_\-]?key)\s*[=:]\s*\"?([^\s\"',;&]{4,})\"?", gate=lambda s: s.any("=:"), loose=r"(?i)(?:pass|passwd|password|secret|key|token)[ \t\n\x0B\f\r]*[=:]", hints=("pass", "secret", "key", "token")),
     detector("swiss-ahv", "NATIONAL_ID", r"\b(756[.\- ]?\d{4}[.\- ]?\d{4}[.\- ]?\d{2})\b", swiss_ahv, lambda s: s.digits >= 13 and s.all("756"), needs="756", loose=r"756[.\- ]?[0-9]{4}[.\- ]?[0-9]{4}[.\- ]?[0-9]{2}"),
     detector("iban", "IBAN", r"\b([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3}(?! ?[A-Z0-9]))?))\b", iban, lambda s: s.length >= 14 and s.upper >= 2 and s.digits >= 2, loose=r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}"),
     detector("payment-card", "PAN", r"\b(\d(?:[ \-]?\d){11,18})\b", lambda t: luhn(digits_only(t)), lambda s: s.digits >= 12, loose=r"[0-9](?:[ \-]?[0-9]){11}"),
