@@ -454,7 +454,17 @@ def findings_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, "text", ["source", "lang"]).rollup("category", "detector", "lang").agg(F.count("*").alias("findings"))
 
 
-@query()
+def s_findings(table: str, key: str, column: str) -> str:
+    """A row for each match of each kind with its place: what stands before it are parts and earlier matches."""
+    rows = []
+    for name, (pattern, category) in S_KINDS.items():
+        found = f"SELECT {key}, regexp_split_to_array({column}, '{pattern}') AS p, regexp_extract_all({column}, '{pattern}') AS m FROM {table} WHERE regexp_matches({column}, '{pattern}')"
+        each = f"SELECT {key}, m[i] AS value, length(array_to_string(p[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({found}))"
+        rows.append(f"SELECT {key}, start::INT AS start, (start + length(value))::INT AS \"end\", '{category}' AS category, '{name}' AS detector, true AS confident, value FROM ({each})" + (f" WHERE {s_luhn('value')}" if category == "PAN" else ""))
+    return " UNION ALL ".join(rows)
+
+
+@query(s_findings("pages", "page_id", "html"))
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "pages"), "html", ["page_id"])
 
