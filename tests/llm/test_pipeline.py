@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.llm import near
@@ -52,6 +53,83 @@ def test_similarity_is_exact_for_long_texts():
         assert near.similarity(near.sketch(words(a)), near.sketch(words(b))) == jaccard(a, b)
 
 
+def test_spreads_bound_the_similarity():
+    rng = random.Random(6)
+    for n in (3, 8, 40, 300, 2000):
+        a = text(rng, n)
+        for b in (a, changed(rng, a, n // 4), a + " " + text(rng, 3 * n), text(rng, n + 5)):
+            x, y = near.sketch(words(a)), near.sketch(words(b))
+            assert near.similarity(x, y) - 1e-12 <= near.most_similar(near.spread(x), near.spread(y)) <= 1
+    assert near.most_similar(near.spread(near.sketch(words(text(rng, 500)))), near.spread(near.sketch(words(text(rng, 500))))) < 0.6
+    assert near.most_similar(b"", near.spread(b"")) == 1
+
+
+def test_bitmap_has_all_ids(spark):
+    ids = [*range(0, 40_000, 7), (3 << 33) + 5, -4]
+    frame = spark.createDataFrame([(i, f"a text of number {i}") for i in ids], "id long, text string")
+    got = {r.id for r in near.shingle_sets(frame, bytes, frame.filter("id % 2 = 0")).select("id").collect()}
+    want = {i for i in ids if i % 2 == 0}
+    assert want <= got and len(got) < 1.3 * len(want)
+    assert near.shingle_sets(frame, bytes, frame.filter("id = 1")).collect() == []
+
+
+def test_shared_keys(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(300), i, 9, 0, False) for i in range(300)] + [(1000 + i % 3, i, 9, 0, True) for i in range(50)] + [(5000, 1, 9, 0, True)]
+    got = sorted(tuple(r) for r in near.shared(spark.createDataFrame(rows, "key long, id long, n int, at int, common boolean")).collect())
+    many = {k for k, *_ in rows if sum(x[0] == k for x in rows) > 1} | {5000}
+    assert got == sorted(r for r in rows if r[0] in many)
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_crowds_in_blocks(spark, monkeypatch, common):
+    """Links of a crowd that is cut into blocks join the same texts as all its pairs do."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    rng = random.Random(12)
+    base = text(rng, 120).split()
+    made = []
+    for _ in range(60):
+        w = list(base)
+        for k in rng.sample(range(120), rng.randrange(0, 9)):
+            w[k] = "new" + str(rng.randrange(30))
+        made.append(" ".join(w))
+    texts = spark.createDataFrame(list(enumerate(made)), "id long, text string")
+    n = {i: len(shingles(t)) for i, t in enumerate(made)}
+    rows = spark.createDataFrame([(7, i, n[i], 0, common, i) for i in range(60)], "key long, id long, n int, at int, common boolean, root long")
+    links = {(r.a, r.b) for r in near.crowd_links(rows, texts, 0.8).collect()}
+
+    def groups(pairs):
+        up = list(range(60))
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = [x if u == y else u for u in up]
+        return up
+
+    true = {(a, b) for a in range(60) for b in range(a + 1, 60) if jaccard(made[a], made[b]) >= 0.8}
+    assert links <= true
+    same = lambda g: {frozenset(i for i in range(60) if g[i] == x) for x in g}
+    assert same(groups(links)) == same(groups(true)) and len(same(groups(true))) > 1
+
+
+def test_one_hot_crowd(spark):
+    """Texts that all share a passage, and no more than that, all stay; copies of one text become one row."""
+    rng = random.Random(10)
+    line = text(rng, 12)
+    rows = [doc(i, line + " " + text(rng, 30)) for i in range(120)] + [doc(1000 + i, line + " alike in all") for i in range(300)]
+    rows += [doc(2000 + i, line + " " + changed(rng, rows[i][1], 0)[len(line) + 1 :] + " more") for i in range(5)]
+    kept = {r.doc_id for r in near.drop_near_copies(spark.createDataFrame(rows, DOCS)).collect()}
+    close = {2000 + i for i in range(5) if jaccard(rows[i][1], rows[420 + i][1]) >= 0.8}
+    assert kept == set(range(120)) | {1000} | {2000 + i for i in range(5)} - close and len(close) == 5
+
+
+def test_names_and_repeated_rows(spark):
+    schema = "doc_id long, text string, sig string, row long, id long, root long, __row long"
+    rows = [(None, "a b c", "s", 1, 2, 3, 4), (None, "a b c", "s", 1, 2, 3, 4), (7, "x y z", None, None, None, None, None), (7, "x y z", "t", 9, 9, 9, 9), (8, None, "u", 0, 0, 0, 0), (3, " ", "v", 0, 0, 0, 0)]
+    got = near.drop_near_copies(spark.createDataFrame(rows, schema))
+    assert got.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "a b c"), (3, " "), (7, "x y z")]
+
+
 def test_near_copies_against_brute_force(spark):
     rng = random.Random(2)
     rows = []
@@ -127,11 +205,11 @@ def test_empty(spark, tables):
 
 def test_clashing_names(spark, tables):
     rng = random.Random(5)
-    schema = "doc_id long, text string, lang string, score double, stats string, lang_pred string, leaks int, __note string"
-    rows = [(i, text(rng, 40), "xx", 0.5, "s", None, 3, "n") for i in range(12)]
+    schema = "doc_id long, text string, lang string, score double, stats string, lang_pred string, leaks int, __note string, sig string, row long"
+    rows = [(i, text(rng, 40), "xx", 0.5, "s", None, 3, "n", "g", 4) for i in range(12)]
     d = tables(documents=(rows, schema), labels=([(i, i % 2, 0) for i in range(0)], LABELS), benchmark=([(1, ITEM)], BENCH))
     docs = spark.read.parquet(f"{d}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, d)
-        assert docs.columns == ["doc_id", "text", "lang", "score", "stats", "lang_pred", "leaks", "__note"]
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
     assert sorted(map(tuple, docs.collect())) == rows
