@@ -17,7 +17,7 @@ hashes.
 Groups are the components of verified links. All pairs of a shingle with CROWD texts or fewer are
 tried. The texts of a more crowded one first meet one of them, HEADS times over: the one that has
 most crowded shingles, as the text does that others were made from. Texts of a crowd that are still
-of different components then meet in blocks of about BLOCK, in tasks that give back only texts with
+of different components then meet in blocks of bounded size, in tasks that give back only texts with
 a partner that the bounds allow, and of these only links that join two components: no pairs of a
 crowd are ever rows.
 
@@ -56,8 +56,8 @@ WIDEST = 26
 CROWD = 32
 #: Times that a crowd is tried against one of its texts before all pairs are.
 HEADS = 2
-#: Texts of a crowd, in expectation, that meet as many others in one task.
-BLOCK = 4096
+#: Texts of a crowd, in expectation, that meet as many others in one task, by counts and by whole hashes.
+BLOCK, WHOLE = 2048, 256
 #: log2 of the ranges that hashes are counted by, at most.
 RANGES = 9
 
@@ -296,10 +296,10 @@ def allowed(rows: pa.Table, spreads: list[bytes], least: float) -> Iterator[tupl
                     yield int(i), j[ok]
 
 
-def in_blocks(rows: DataFrame, texts: DataFrame, form: Callable[[bytes], bytes], run: Callable[[pa.Table], pa.Table], schema: str, name: str) -> DataFrame:
+def in_blocks(rows: DataFrame, texts: DataFrame, form: Callable[[bytes], bytes], run: Callable[[pa.Table], pa.Table], schema: str, name: str, block: int) -> DataFrame:
     """run over the rows (key, common, id, n, at, root) of each key that meet in blocks, with a form of their hashes."""
     sets = stored(shingle_sets(texts, form, rows.select("id").distinct()), "sets")
-    parts = rows.groupBy("key", "common").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = rows.groupBy("key", "common").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = by_key(rows, parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     meets = dealt.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     meets = meets.select("key", "common", F.least("part", "meets").alias("low"), F.greatest("part", "meets").alias("high"), "part", "id", "n", "at", "root")
@@ -336,9 +336,9 @@ def crowd_links(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     rows = rows.select("key", "common", "id", "n", "at", "root")
-    some = in_blocks(rows, texts, spread, partnered, "key long, common boolean, id long, n int, at int, root long", "partnered")
+    some = in_blocks(rows, texts, spread, partnered, "key long, common boolean, id long, n int, at int, root long", "partnered", BLOCK)
     some = some.distinct()
-    return in_blocks(some, texts, bytes, joined, "a long, b long", "joined").distinct()
+    return in_blocks(some, texts, bytes, joined, "a long, b long", "joined", WHOLE).distinct()
 
 
 def near_groups(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:

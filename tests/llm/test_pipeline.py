@@ -85,6 +85,7 @@ def test_shared_keys(spark):
 def test_crowds_in_blocks(spark, monkeypatch, common):
     """Links of a crowd that is cut into blocks join the same texts as all its pairs do."""
     monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "WHOLE", 5)
     rng = random.Random(12)
     base = text(rng, 120).split()
     made = []
