@@ -396,7 +396,8 @@ def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Copies first become one, so a hot group is a single row before it meets its root.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))
     classes = stored(rows.groupBy(F.col(sig).alias("sig")).agg(F.min(rank).alias("first")).select("first", F.col("first.row").alias("id")), "classes")
-    texts = stored(rows.select(F.col(row).alias("id"), "text").join(classes.select("id"), "id", "left_semi"), "texts")
+    # One plan at every size: the ids grow with the table, so they aren't sent to all tasks.
+    texts = stored(rows.select(F.col(row).alias("id"), "text").join(classes.select("id").hint("merge"), "id", "left_semi"), "texts")
     roots = near_groups(texts, least)
     discard(texts)
     stay = classes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
