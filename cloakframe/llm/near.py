@@ -109,6 +109,21 @@ def marked(docs: DataFrame, name: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def packed(ids: DataFrame) -> DataFrame:
+    """ids (id), none below zero: (of, bits), a row for 64 neighbouring ids."""
+    return stored(ids.groupBy(F.shiftright("id", 6).alias("of")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id % 64 as int))")).alias("bits")), "packed")
+
+
+def only(rows: DataFrame, row: str, ids: DataFrame) -> DataFrame:
+    """The rows whose number, in a column, is one of the packed ids.
+
+    Numbers are dense, so the ids go to all tasks as a bit for each row, and texts are never shuffled.
+    """
+    of, bits = unused(rows, "of"), unused(rows, "bits")
+    words = F.broadcast(ids.select(F.col("of").alias(of), F.col("bits").alias(bits)))
+    return rows.join(words, F.shiftright(row, 6) == F.col(of)).filter(F.getbit(bits, F.col(row) % 64) == 1).drop(of, bits)
+
+
 def place(c: str, bits: int) -> Column:
     """The place of an id in a bitmap of so many bits, from 1."""
     return F.shiftrightunsigned(F.xxhash64(c), 64 - bits) + 1
@@ -396,9 +411,8 @@ def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Copies first become one, so a hot group is a single row before it meets its root.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))
     classes = stored(rows.groupBy(F.col(sig).alias("sig")).agg(F.min(rank).alias("first")).select("first", F.col("first.row").alias("id")), "classes")
-    # One plan at every size: the ids grow with the table, so they aren't sent to all tasks.
-    texts = stored(rows.select(F.col(row).alias("id"), "text").join(classes.select("id").hint("merge"), "id", "left_semi"), "texts")
-    roots = near_groups(texts, least)
-    discard(texts)
-    stay = classes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return rows.join(stay, row, "left_semi").select(*[f"`{c}`" for c in names])
+    firsts = packed(classes.select("id"))
+    roots = near_groups(only(rows.select(F.col(row).alias("id"), "text"), "id", firsts), least)
+    discard(firsts)
+    stay = classes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("id"))
+    return only(rows, row, packed(stay)).select(*[f"`{c}`" for c in names])

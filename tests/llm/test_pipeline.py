@@ -131,6 +131,33 @@ def test_names_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "a b c"), (3, " "), (7, "x y z")]
 
 
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """Neither for the texts that are compared nor for the rows that stay, however many ids there are."""
+    plans = []
+    stored = near.stored
+    monkeypatch.setattr(near, "stored", lambda df, name, **more: plans.append((name, df)) or stored(df, name, **more))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(k, f"{k // 2} some words of a text and {k // 2} more of them") for k in range(200)], "doc_id long, text string").repartition(7)
+        got = near.drop_near_copies(docs)
+        plans.append(("out", got))
+        assert sorted(r.doc_id for r in got.collect()) == list(range(0, 200, 2))
+        for name, df in plans:
+            if name != "marked":
+                assert not ("text" in df.columns and "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_some_rows(spark):
+    rows = spark.range(0, 5000, 1, 5).select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("of"), "id").cache()
+    want = {r.row for r in rows.collect() if r.id % 7 in (0, 3)}
+    ids = near.packed(rows.filter("id % 7 in (0, 3)").select(F.col("row").alias("id")))
+    got = near.only(rows, "row", ids)
+    assert got.columns == rows.columns and sorted(r.row for r in got.collect()) == sorted(want) and len({r >> 33 for r in want}) == 5
+    assert near.only(rows, "row", near.packed(rows.filter("false").select("id"))).count() == 0
+
+
 def test_near_copies_against_brute_force(spark):
     rng = random.Random(2)
     rows = []
