@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cloakframe.llm import mixing
@@ -256,6 +257,29 @@ def test_what_is_learnt_from_the_corpus(spark, tables, monkeypatch):
     assert all(abs(again[i] - x) < 1e-6 for i, x in found[1].items())
 
 
+def test_weights_are_learnt_on_all_training_texts(spark, tables, monkeypatch):
+    """The last tables count every bit of the training texts and of their words, however small a sample might be."""
+    monkeypatch.setattr(mixing, "LEARNT", 300, raising=False)
+    monkeypatch.setattr(mixing, "WORDS", 10, raising=False)
+    monkeypatch.setattr(mixing, "VOCABULARY", 50)
+    found, train, spell = {}, mixing.train, mixing.spelling.train_mixer
+    monkeypatch.setattr(mixing, "train", lambda ready, model, *more: found.setdefault("model", (ready, train(ready, model, *more)))[1])
+    monkeypatch.setattr(mixing.spelling, "train_mixer", lambda words, counts: found.setdefault("mixer", spell(words, counts)))
+    rows = corpus(60)
+    mixing.score_documents(tables_of(spark, tables, rows), mixing.fold("doc_id", 10) == 0).collect()
+    ready, model = found["model"]
+    bits = 0
+    for g, _, _ in mixing.groups(pa.RecordBatch.from_arrays([c.combine_chunks() for c in ready.toArrow().columns], names=ready.columns), model.code.size, True):
+        bits += sum(len(on) for _, on, _, _ in g.levels(model.code, 0, g.n))
+    assert int(model.cells.sum()) == bits > 0
+    words = {w for r in rows if zlib.crc32(str(r[0]).encode()) % 10 for w in tokens(r[1])}
+    assert int(found["mixer"].cells.sum()) == 8 * sum(len(w) + 1 for w in words)
+
+
+def tables_of(spark, tables, rows):
+    return spark.read.parquet(f"{tables(documents=(rows, DOCS))}/documents.parquet")
+
+
 def test_nothing_to_learn(spark, tables):
     assert op6_context_mixing(spark, tables(documents=([], DOCS))).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
