@@ -17,9 +17,10 @@ hashes.
 Groups are the components of verified links. All pairs of a shingle with CROWD texts or fewer are
 tried. The texts of a more crowded one first meet one of them, HEADS times over: the one that has
 most crowded shingles, as the text does that others were made from. Texts of a crowd that are still
-of different components then meet in blocks of bounded size, in tasks that give back only texts with
-a partner that the bounds allow, and of these only links that join two components: no pairs of a
-crowd are ever rows.
+of different components then meet in blocks of bounded size, in tasks that give back a spanning forest
+of the pairs that the bounds allow. Two texts may share many crowded shingles, so their whole hashes
+meet by the forests' components, where each text is once, and give only links that join two
+components: no pairs of a crowd are ever rows.
 
 Of each group the row with the least doc_id stays (null last; of repeated ids one row, whichever
 was read first). A null text is an empty one; all texts without a word are copies of one another.
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cloakframe.llm import simhash
-from cloakframe.llm.common import by_bytes, discard, stored, unused
+from cloakframe.llm.common import by_bytes, discard, hot_join, stored, unused
 from cloakframe.llm.simhash import shingle_digests, words
 from cloakframe.llm.trie import components
 
@@ -311,13 +312,12 @@ def allowed(rows: pa.Table, spreads: list[bytes], least: float) -> Iterator[tupl
                     yield int(i), j[ok]
 
 
-def in_blocks(rows: DataFrame, texts: DataFrame, form: Callable[[bytes], bytes], run: Callable[[pa.Table], pa.Table], schema: str, name: str, block: int) -> DataFrame:
-    """run over the rows (key, common, id, n, at, root) of each key that meet in blocks, with a form of their hashes."""
-    sets = stored(shingle_sets(texts, form, rows.select("id").distinct()), "sets")
-    parts = rows.groupBy("key", "common").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = by_key(rows, parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+def in_blocks(dealt: DataFrame, texts: DataFrame, form: Callable[[bytes], bytes], run: Callable[[pa.Table], pa.Table], schema: str, name: str) -> DataFrame:
+    """run over the rows (key, parts, id, n, at, root) of each key that meet in blocks, with a form of their hashes."""
+    sets = stored(shingle_sets(texts, form, dealt.select("id").distinct()), "sets")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     meets = dealt.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meets = meets.select("key", "common", F.least("part", "meets").alias("low"), F.greatest("part", "meets").alias("high"), "part", "id", "n", "at", "root")
+    meets = meets.select("key", F.least("part", "meets").alias("low"), F.greatest("part", "meets").alias("high"), "part", "id", "n", "at", "root")
     found = stored(meets.join(sets, "id").groupBy("key", "low", "high").applyInArrow(run, schema), name)
     discard(sets)
     return found
@@ -326,34 +326,35 @@ def in_blocks(rows: DataFrame, texts: DataFrame, form: Callable[[bytes], bytes],
 def crowd_links(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b) that join the roots of rows (key, common, id, n, at, root), as many as that takes."""
 
-    def partnered(block: pa.Table) -> pa.Table:
-        on = np.zeros(block.num_rows, bool)
-        for i, j in allowed(block, block.column("hashes").to_pylist(), least):
-            on[i] = on[j] = True
-        return block.select(["key", "common", "id", "n", "at", "root"]).filter(pa.array(on))
-
-    def joined(block: pa.Table) -> pa.Table:
-        sets, ids, roots = (block.column(c).to_pylist() for c in ("hashes", "id", "root"))
-        up = {r: r for r in roots}
-
-        def top(r: int) -> int:
-            while up[r] != r:
-                up[r] = r = up[up[r]]
-            return r
-
-        links = []
-        for i, partners in allowed(block, [spread(h) for h in sets], least):
-            for j in partners:
-                a, b = top(roots[i]), top(roots[j])
-                if a != b and similarity(sets[i], sets[j]) >= least:
-                    up[a] = b
+    def joining(nodes: pa.ChunkedArray, block: pa.Table, spreads: list[bytes], ok: Callable[[int, int], bool]) -> pa.Table:
+        """Allowed pairs of a block that are ok and join two of the nodes that its rows are of."""
+        ids, links = block.column("id").to_pylist(), []
+        of = np.unique(nodes.to_numpy(), return_inverse=True)[1]
+        for i, partners in allowed(block, spreads, least):
+            for j in partners[of[partners] != of[i]]:
+                if of[j] != of[i] and ok(i, j):
+                    of[of == of[j]] = of[i]
                     links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    rows = rows.select("key", "common", "id", "n", "at", "root")
-    some = in_blocks(rows, texts, spread, partnered, "key long, common boolean, id long, n int, at int, root long", "partnered", BLOCK)
-    some = some.distinct()
-    return in_blocks(some, texts, bytes, joined, "a long, b long", "joined", WHOLE).distinct()
+    def partnered(block: pa.Table) -> pa.Table:
+        return joining(block.column("id"), block, block.column("hashes").to_pylist(), lambda i, j: True)
+
+    def joined(block: pa.Table) -> pa.Table:
+        sets = block.column("hashes").to_pylist()
+        return joining(block.column("root"), block, [spread(h) for h in sets], lambda i, j: similarity(sets[i], sets[j]) >= least)
+
+    def parts(rows: DataFrame, block: int) -> DataFrame:
+        return rows.agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+
+    some = in_blocks(by_key(rows, parts(rows.groupBy("key", "common"), BLOCK)), texts, spread, partnered, "a long, b long", "partnered")
+    groups = components(some)
+    # Any pair that is allowed by a shared key is in one group, whatever its keys' places.
+    once = rows.select("id", "n", "root").distinct().join(groups.select(F.col("node").alias("id"), F.col("root").alias("key")), "id")
+    once = stored(once.withColumn("at", F.lit(0)), "once")
+    found = in_blocks(hot_join(once, parts(once.groupBy("key"), WHOLE), "key"), texts, bytes, joined, "a long, b long", "joined")
+    discard(some, groups, once)
+    return found.distinct()
 
 
 def near_groups(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:

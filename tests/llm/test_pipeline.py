@@ -112,6 +112,22 @@ def test_crowds_in_blocks(spark, monkeypatch, common):
     assert same(groups(links)) == same(groups(true)) and len(same(groups(true))) > 1
 
 
+def test_whole_hashes_meet_once_for_many_crowds(spark, monkeypatch):
+    rng = random.Random(15)
+    base = text(rng, 200)
+    made = {i: changed(rng, base, 1) if i < 12 else text(rng, 200) for i in range(16)}
+    texts = spark.createDataFrame(list(made.items()), "id long, text string")
+    # Each text has ten crowded shingles.
+    rows = spark.createDataFrame([(k, k % 2 == 0, i, 196, 0, i) for i in made for k in range(10)], "key long, common boolean, id long, n int, at int, root long")
+    met = []
+    in_blocks = near.in_blocks
+    monkeypatch.setattr(near, "in_blocks", lambda rows, texts, form, *more: met.append((form, rows.count())) or in_blocks(rows, texts, form, *more))
+    links = {(r.a, r.b) for r in near.crowd_links(rows, texts, 0.8).collect()}
+    assert met[1] == (bytes, 12)
+    assert len(links) == 11 and {x for link in links for x in link} == set(range(12))
+    assert all(jaccard(made[a], made[b]) >= 0.8 for a, b in links)
+
+
 def test_one_hot_crowd(spark):
     """Texts that all share a passage, and no more than that, all stay; copies of one text become one row."""
     rng = random.Random(10)
