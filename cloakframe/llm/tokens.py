@@ -11,6 +11,8 @@ import numpy as np
 
 #: Entries that a worker keeps; beyond that it starts anew.
 CACHE_ENTRIES = 1_200_000
+#: Words that the library gets as one text.
+TOGETHER = 1000
 
 #: Separators that Python takes for white space and the tokenizers don't.
 _ODD = re.compile("[\x1c-\x1f]").search
@@ -28,7 +30,8 @@ class Encoder:
 
     A byte-level piece takes the one space before it. Keys of its cache are words without that
     space; a key that begins with a line end has none. A text with other white space than single
-    spaces and line ends between words takes the longer way, by the pattern.
+    spaces and line ends between words takes the longer way, by the pattern. New words go to the
+    library many at once, with a space before each: an id that begins with a space begins a word.
     """
 
     def __init__(self, path: str):
@@ -45,6 +48,10 @@ class Encoder:
             raise ValueError(f"{path}: neither a byte-level nor a word vocabulary")
         #: Bytes that an id takes.
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocab = self.tokenizer.get_vocab()
+        #: Ids that begin with a space.
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for token, i in vocab.items() if byte_level and token[0] == "\u0120"]] = True
         self.runs = re.compile(r"\s+(?!\S)| ?\S+|\s+").findall
         self.cache: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
@@ -61,9 +68,7 @@ class Encoder:
         cut = [text.split() for text in texts] if self.words else [text.replace("\n", " \n").split(" ") for text in texts]
         # The first word has no space before it; it stands under its own text in another table.
         heads = [None if self.words else parts.pop(0) for parts in cut]
-        new = set().union(*cut)
-        new.difference_update(self.cache.keys())
-        odd = self._learn(new)
+        odd = self._learn(set().union(*cut).difference(self.cache))
         get, out = self.cache.__getitem__, []
         for text, head, parts in zip(texts, heads, cut, strict=True):
             if odd and not odd.isdisjoint(parts) or head is not None and (not head or _SPACE(head)) or _ODD(text):
@@ -86,14 +91,30 @@ class Encoder:
 
     def _learn(self, keys: set[str]) -> set[str]:
         """Adds the keys to the cache; returns those that aren't single words."""
-        odd = set() if self.words else {k for k in keys if len(k.split()) != 1 or _SPACE(k, k[:1] == "\n")}
-        new = list(keys - odd)
+        odd = set() if self.words else {k for k in keys if k in ("", "\n") or _SPACE(k, k[0] == "\n")}
+        alone = keys - odd
+        if not self.words:
+            after = [k for k in alone if k[0] != "\n"]
+            if self._learn_together(after):
+                alone.difference_update(after)
+        new = list(alone)
         texts = new if self.words else [k if k[0] == "\n" else " " + k for k in new]
         for k, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = e.ids
             self.cache[k] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
         return odd
 
+    def _learn_together(self, words: list[str]) -> bool:
+        """Adds words, each with a space before it, to the cache; False if their ids don't tell where each begins."""
+        texts = [" " + " ".join(words[a : a + TOGETHER]) for a in range(0, len(words), TOGETHER)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(words):
+            return False
+        data, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        self.cache.update(zip(words, [data[a:b] for a, b in zip(bounds, bounds[1:])], strict=True))
+        return True
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

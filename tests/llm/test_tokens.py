@@ -21,3 +21,21 @@ def test_fixed(name):
 def test_pieces_are_the_whole(name, text):
     e = ENCODERS[name]
     assert e.encode([text, None]) == [e.whole(text), e.whole("")]
+
+
+def test_new_words_are_learnt_together():
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    library, sent = e.tokenizer, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    e.tokenizer = Counted()
+    texts = [" ".join(f"w{'xyz'[i % 3] * (i % 7)}{k}ord{i}'s-é" for i in range(1500)) for k in range(4)] + ["\n".join(f"line{i}" for i in range(9)), "a\tb c  d"]
+    assert e.encode(texts) == [e.whole(x) for x in texts]
+    assert len(sent) < 40
