@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from cloakframe.llm import mixing
-from cloakframe.llm.mixing import CELLS, GATES, NOTHING, SAME, Code, Counts, Group, Model, Texts, leading, op6_context_mixing, widths
+from cloakframe.llm.mixing import CELLS, GATES, NOTHING, SAME, Code, Counts, Group, LogOdds, Model, Texts, leading, op6_context_mixing, widths
 from helpers import DOCS, ODD, doc
 
 U = (1 << 64) - 1
@@ -149,6 +149,64 @@ def test_chunks_and_pieces_change_little(learnt, monkeypatch):
     assert abs(one[0] - a[0] - b[0]) < 0.02 * abs(one[0])
 
 
+def test_long_codes_against_bit_after_bit():
+    """Codes of up to 41 bits: products of many small probabilities stay what a double holds."""
+    rng, size, counts = random.Random(6), 42, [1, 1]
+    while len(counts) < size:
+        counts.append(counts[-1] + counts[-2])
+    parts, code = texts(rng, 30, size), Code(counts)
+    assert code.length.max() == size - 1
+    model = Model.of(code, widths(500), np.zeros(Counts(code, widths(500)).size, np.uint32))
+    got, want = scores(model, parts)
+    assert np.allclose(got, want, rtol=2e-3, atol=2e-2) and min(want) < -300
+
+
+def test_levels_take_the_longest_codes_first(learnt):
+    model, parts = learnt
+    g, before, bits = Group(parts, model.code.size), None, 0
+    for k, on, node, bit in g.levels(model.code, 0, g.n):
+        assert before is None or on.tolist() == before[: len(on)].tolist()
+        assert node.tolist() == model.code.path[k, g.ids[on]].tolist() and bit.tolist() == model.code.bits[k, g.ids[on]].tolist()
+        before, bits = on, bits + len(on)
+    assert bits == int(model.code.length[g.ids[~g.right]].sum()) > 0
+
+
+def test_log_odds_are_looked_up(learnt):
+    """Looked up for one kind of texts or for both, they are those of the counts; the lowest bit tells what was seen."""
+    model, parts = learnt
+    for some, own in (([p for p in parts if p[5]], [1]), ([p for p in parts if not p[5]], [0]), (parts, [0, 1])):
+        looked = LogOdds(model, Group(some, model.code.size))
+        assert looked.own == own
+        for table, pairs in zip(looked.tables, model.tables):
+            for rows, less in zip(table.reshape(len(own), -1, 2), own):
+                for bit in (0, 1):
+                    hit, miss = np.maximum(pairs[:, bit].astype(int) - less, 0), pairs[:, 1 - bit].astype(int)
+                    assert np.allclose(rows[:, bit], np.log((hit + mixing.PRIOR) / (miss + mixing.PRIOR)), atol=1e-5)
+                    assert ((np.ascontiguousarray(rows[:, bit]).view(np.uint32) & 1) == (hit + miss > 0)).all()
+
+
+def test_numbers_of_words():
+    """Many texts at once get the numbers that word after word would get."""
+    made = [t or "" for _, t, *_ in ODD] + ["\x0b a  b\x0cA\r", "x\xa0y \x1c z\x85", "\u2003Q q", "b a b"]
+    held = [i % 3 == 0 for i in range(len(made))]
+    numbers, train = {}, Counter()
+    want = [[numbers.setdefault(w, len(numbers)) for w in tokens(t)] for t in made]
+    for w, h in zip(want, held):
+        train.update([] if h else w)
+    for cuts in ((0, len(made)), (0, 2, 3, 9, len(made))):
+        block = mixing.Block(0)
+        got = [x.tolist() for a, b in zip(cuts, cuts[1:]) for x in block.add(pa.array(made).slice(a, b - a), held[a:b])]
+        assert got == want == [x.tolist() for x in block.texts] and block.held == held
+        assert list(block.words) == list(numbers) and block.train[: len(numbers)].tolist() == [train[k] for k in range(len(numbers))]
+
+
+def test_ordered():
+    rng = np.random.default_rng(7)
+    for n, high in ((0, 1), (1, 1), (2, 1), (999, 3), (5000, 1 << 40)):
+        values = rng.integers(0, high, n).astype(np.uint64) << np.uint64(24) | rng.integers(0, 3, n).astype(np.uint64)
+        assert mixing.ordered(values).tolist() == np.argsort(values, kind="stable").tolist()
+
+
 def test_next_tokens_are_a_distribution(learnt):
     model, parts = learnt
     size = model.code.size

@@ -56,3 +56,17 @@ def test_own_count_is_left_out():
     mixer, none = Mixer(), np.zeros((2, SLOTS), np.float32)
     assert abs(mixer.log10([b"alone"], counts, True)[0] - mixer.log10([b"alone"], none)[0]) < 1e-6
     assert mixer.log10([b"alone"], counts)[0] > mixer.log10([b"alone"], none)[0]
+
+
+def test_log_odds_are_looked_up():
+    """Log odds and gates are those of the counts, with and without a word's own bits."""
+    words = [bytes([97 + k % 5, 98 + k % 7]) * (k % 4 + 1) for k in range(60)]
+    counts = np.zeros((2, SLOTS), np.uint32)
+    add_counts(words, counts)
+    for out in (False, True):
+        odds = spelling.LogOdds(counts, out)
+        for place, slots, bits in Spelled(words).bits():
+            n0, n1 = (counts[b].astype(int)[slots] - (out & (bits == b)) for b in (0, 1))
+            x, gate = odds.inputs(slots, bits, place)
+            assert np.allclose(x, np.log((n1 + spelling.PRIOR) / (n0 + spelling.PRIOR)), atol=1e-5)
+            assert gate.tolist() == (place * spelling.SEEN + np.minimum(np.log2(n0[-1] + n1[-1] + 1), spelling.SEEN - 1).astype(int)).tolist()
